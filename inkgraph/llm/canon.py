@@ -51,8 +51,8 @@ ALIASES: dict[str, dict[str, str]] = {
         "ACQUAINTED_WITH": "knows; knew; is an acquaintance of; acquaintance of; friend of; familiar with",
         "DISPATCHED_TO": "sent to; was sent out to; sent out to; deployed to",
         "INTERVIEWED_BY": "questioned by; was questioned by; interrogated by",
-        "CONTACTED": "phoned; called; got in touch with; reached out to; rang; reached; telephoned",
-        "ARRIVED_AT": "came to; got to; arrival at; reached the scene; pulled up to",
+        "CONTACTED": "phoned; called; got in touch with; reached out to; rang; telephoned",
+        "ARRIVED_AT": "came to; got to; arrival at; reached; reached the scene; pulled up to",
         "RESIDES_AT": "lives at; residing at; domiciled at; home address is; dwells at; lives in",
         "EMPLOYED_BY": "works for; worked for; employee of; on payroll of; works at; hired by",
         "PARENT_OF": "mother of; father of; has child; mum of; dad of",
