@@ -20,6 +20,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return edges.unionByName(rels)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import mojibake
+
+    ship(spark)
+    return mojibake.find(table(spark, sf, "documents"))
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged documents with their restored text."""
+    from inkgraph.llm import mojibake
+
+    ship(spark)
+    return mojibake.restore(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
 
