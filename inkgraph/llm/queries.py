@@ -20,6 +20,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return edges.unionByName(rels)
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import sentences
+
+    ship(spark)
+    return sentences.find(table(spark, sf, "narratives"), table(spark, sf, "victim_biographies"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import mojibake
 
