@@ -27,6 +27,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.find(table(spark, sf, "narratives"), table(spark, sf, "victim_biographies"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import turns
+
+    ship(spark)
+    return turns.speaker_turns(table(spark, sf, "suspect_interviews")).select("id", "turn_no", "speaker")
+
+
+def p4_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean turns with their words."""
+    from inkgraph.llm import turns
+
+    ship(spark)
+    return turns.speaker_turns(table(spark, sf, "suspect_interviews"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import mojibake
 
