@@ -42,6 +42,21 @@ def p4_turns(spark: SparkSession, sf: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf, "suspect_interviews"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import pii
+
+    ship(spark)
+    return pii.find(pii.gather(table(spark, sf, "documents"), table(spark, sf, "suspect_interviews"), table(spark, sf, "victim_biographies")))
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    from inkgraph.llm import pii
+
+    ship(spark)
+    return pii.redact(pii.gather(table(spark, sf, "documents"), table(spark, sf, "suspect_interviews"), table(spark, sf, "victim_biographies")))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import mojibake
 
