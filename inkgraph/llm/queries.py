@@ -57,6 +57,13 @@ def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(pii.gather(table(spark, sf, "documents"), table(spark, sf, "suspect_interviews"), table(spark, sf, "victim_biographies")))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import scans
+
+    ship(spark)
+    return scans.find(scans.gather(table(spark, sf, "documents"), table(spark, sf, "narratives")))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import mojibake
 
