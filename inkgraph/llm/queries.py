@@ -27,6 +27,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.find(table(spark, sf, "narratives"), table(spark, sf, "victim_biographies"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import names
+
+    ship(spark)
+    return names.find(table(spark, sf, "entities"), table(spark, sf, "global_entities"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import turns
 
