@@ -49,7 +49,7 @@ ORG_WORDS = frozenset("""school sch elementary elem elementry bank svgs savings
 sheriffs office off ofc hospital university univ department dept agency association corporation corp inc llc ltd police court church clinic services service unit institute foundation group""".split())
 ORG_NOISE = frozenset("the and & of co inc llc ltd na corp plc".split())
 TITLES = frozenset("mr mrs ms mx miss dr prof officer ofc deputy dep sheriff sergeant sgt detective det inspector insp lieutenant lt captain capt chief agent trooper r/o r/i ro ri judge rev sir madam".split())
-SUFFIX = {"sr": "sr", "senior": "sr", "jr": "jr", "junior": "jr", "ii": "ii", "iii": "iii", "iv": "iv"}
+SUFFIX = {"sr": "sr", "senior": "sr", "jr": "jr", "junior": "jr", "ii": "jr", "iii": "iii", "iv": "iv"}
 OCR = str.maketrans("0158!|@$", "olsbilas")
 ARTICLE = re.compile(r"^(?:an?|the|some|two|three|four|several|one|his|her|their)\s+[a-z]", re.I)
 SIDE = "struct<name:string,kind:string,first:string,middle:string,last:string,suffix:string,tight:string,parts:array<string>,acronym:string,hint:string,first_n:bigint,last_n:bigint,good:double>"
