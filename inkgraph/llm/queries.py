@@ -71,6 +71,38 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.find(scans.gather(table(spark, sf, "documents"), table(spark, sf, "narratives")))
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import pack
+
+    ship(spark)
+    return pack.pack(pack.token_sizes(table(spark, sf, "documents")), table(spark, sf, "pack_specs"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used against the lower bound, per capacity."""
+    from inkgraph.llm import pack
+
+    ship(spark)
+    specs = table(spark, sf, "pack_specs")
+    return pack.report(pack.pack(pack.token_sizes(table(spark, sf, "documents")), specs), specs)
+
+
+def p9_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    from inkgraph.llm import mix
+
+    ship(spark)
+    return mix.mix(mix.sized(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    from inkgraph.llm import mix
+
+    ship(spark)
+    docs, targets = mix.sized(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    return mix.shares(mix.mix(docs, targets), docs, targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import mojibake
 
