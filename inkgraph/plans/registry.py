@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkgraph.plans import times
+from inkgraph.plans import core, times
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    return times.p5_found(spark, sf)
+    """The flagship: the timeline's BEFORE and AFTER edges, counted by kind."""
+    return core.k6(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": times.p5_found, "p5_status": times.p5_status}
+    return {"p5_found": times.p5_found, "p5_status": times.p5_status, **core.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)
