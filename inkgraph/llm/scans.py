@@ -35,7 +35,9 @@ from inkgraph.session import cut
 COMMON = 50_000
 EDGE = " \t.,;:?\"'()[]{}<>“”„‘’«»‹›…–—-*#/\\¿¡。，、？！：；（）「」"
 ODD = re.compile(r"[0-9@!|ſﬁﬂ]")
-HYPHEN = re.compile(r"([^\W\d_][\w’'@!|$]*)[-‐¬­]\n[^\S\n]*(?:(?:[^\n]{0,60}\n){0,0})([^\W\d_][\w’'@!|$]*)")
+HYPHEN = re.compile(r"[-‐¬­]\n[^\S\n]*")
+LEFT = re.compile(r"[^\W\d_][\w’'@!|$]*$")
+RIGHT = re.compile(r"[^\W\d_][\w’'@!|$]*")
 PAGENO = re.compile(r"[-–—\[(|·•~\s]*(?:p(?:a[gq][ec]|[gq]|\.)?[.\s]*)?[0-9OolI]{1,3}(?:\s*(?:of|/|[0o]f)\s*[0-9OolI]{1,3})?[-–—\])|·•~\s]*", re.I)
 TERMINAL = tuple(".!?…”»。！？।؟,;:—–-")
 
@@ -46,6 +48,9 @@ CONFUSIONS: dict[str, tuple[str, ...]] = {
 }
 
 
+HEAD_WORD = re.compile(r"[^\W_][\w’'ſ!@|$]*")
+
+
 def clean_token(w: str) -> str:
     w = w.strip(EDGE)
     if w[-1:] in "!|" and len(w) > 1:
@@ -173,14 +178,16 @@ def odd_form(word: str) -> str | None:
 
 def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     """(lines with a page number, lines of running headers) by index."""
-    bare = [re.sub(r"\s+", " ", x.strip()) for x in lines]
-    numbers = {i for i, x in enumerate(bare) if x and PAGENO.fullmatch(x) and any(c.isdigit() for c in x)}
+    bare = [x.strip() for x in lines]
+    numbers = {i for i, x in enumerate(bare) if x and len(x) <= 24 and PAGENO.fullmatch(x) and any(c.isdigit() for c in x)}
+    short = [(i, x) for i, x in enumerate(bare) if 4 <= len(x) <= 70 and x[0] not in "#“«\"•*[" and not x[0].islower() and not x.endswith(TERMINAL) and i not in numbers]
+    heads, tails = Counter(x[:5] for _, x in short), Counter(x[-5:] for _, x in short)
     groups: dict[str, list[int]] = {}
-    for i, x in enumerate(bare):
-        if i in numbers or not 4 <= len(x) <= 70 or x.endswith(TERMINAL) or not any(c.isalpha() for c in x):
+    for i, x in short:
+        if heads[x[:5]] < 2 and tails[x[-5:]] < 2:
             continue
-        words = [w for w in re.findall(r"[^\W_][\w’'ſ!@|$]*", x) if sum(c.isalpha() for c in w) > 2]
-        if not words or x[0] in "#“«\"•*" or "[" in x:
+        words = [w for w in HEAD_WORD.findall(x) if sum(c.isalpha() for c in w) > 2]
+        if not words or "[" in x:
             continue
         lower = sum(w[0].islower() for w in words)
         if lower > 0.2 * len(words) or not any(w[0].isupper() for w in words):
@@ -206,7 +213,7 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     return numbers, headers
 
 
-def marks(text: str, common: frozenset[str] | set[str]) -> list[tuple[str, str | None, str | None]]:
+def marks(text: str, common: frozenset[str] | set[str], memo: dict[str, str | None]) -> list[tuple[str, str | None, str | None]]:
     """(kind, word, other) of what may be damage in a text: header and pageno are certain, hyphen and char wait for the lexicon."""
     out: list[tuple[str, str | None, str | None]] = []
     if "\n" in text:
@@ -217,16 +224,23 @@ def marks(text: str, common: frozenset[str] | set[str]) -> list[tuple[str, str |
             out.append(("header", None, None))
         seen = set()
         for m in HYPHEN.finditer(text):
-            a, b = m.group(1), m.group(2)
+            lm, rm = LEFT.search(text[max(0, m.start() - 40) : m.start()]), RIGHT.match(text, m.end())
+            if lm is None or rm is None:
+                continue
+            a, b = lm.group(), rm.group()
             pair = ((a + b).lower(), f"{a}-{b}".lower())
             if pair not in seen:
                 seen.add(pair)
                 out.append(("hyphen", *pair))
+    words = set()
     for raw in set(text.split()):
-        if len(raw) >= 3 and raw not in common:
-            w = words_of(raw)
-            if w and w[0] not in common:
-                out.append(("char", w[0], None))
+        if raw not in memo:
+            if len(memo) > 300_000:
+                memo.clear()
+            got = words_of(raw)
+            memo[raw] = got[0] if got and got[0] not in common else None
+        words.add(memo[raw])
+    out += [("char", w, None) for w in words if w is not None]
     return out
 
 
@@ -249,12 +263,13 @@ def find(texts: DataFrame) -> DataFrame:
     common = texts.sparkSession.sparkContext.broadcast(frozenset(r.word for r in top.select("word").collect()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(common.value)
+        known = common.value
+        memo: dict[str, str | None] = {}
         for pdf in batches:
-            rows = [(s, r, *x) for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"], strict=True) for x in marks(t, known)]
+            rows = [(s, r, *x) for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"], strict=True) for x in marks(t, known, memo)]
             yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "word", "other"])
 
-    found = texts.select("src", "row_id", "text").mapInPandas(run, "src string, row_id bigint, kind string, word string, other string")
+    found = cut(texts.select("src", "row_id", "text").mapInPandas(run, "src string, row_id bigint, kind string, word string, other string"))
     sure = found.where("kind in ('header', 'pageno')").select("src", "row_id", "kind")
     char = found.where("kind = 'char'").join(damaged.select("word"), "word", "left_semi").select("src", "row_id", "kind")
     joined, compound = counts.select("word", F.col("n").alias("n_joined")), counts.select(F.col("word").alias("other"), F.col("n").alias("n_compound"))
