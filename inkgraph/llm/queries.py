@@ -71,6 +71,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.find(scans.gather(table(spark, sf, "documents"), table(spark, sf, "narratives")))
 
 
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged texts as continuous paragraphs."""
+    from inkgraph.llm import scans
+
+    ship(spark)
+    return scans.repair(scans.gather(table(spark, sf, "documents"), table(spark, sf, "narratives")))
+
+
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import pack
 

@@ -276,3 +276,105 @@ def find(texts: DataFrame) -> DataFrame:
     hyphen = found.where("kind = 'hyphen'").join(joined, "word", "left").join(compound, "other", "left")
     hyphen = hyphen.where(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))).select("src", "row_id", "kind")
     return sure.union(char).union(hyphen).distinct()
+
+
+def rebuild(text: str, words: dict[str, str], compounds: frozenset[str] | set[str]) -> str:
+    """A text as continuous paragraphs: headers and page numbers out, cut words joined, misread words replaced."""
+    lines = text.split("\n")
+    numbers, headers = page_lines(lines)
+    kept = [x for i, x in enumerate(lines) if i not in numbers and i not in headers]
+    out: list[str] = []
+    para = ""
+    for line in (x.strip() for x in kept):
+        if not line:
+            if para:
+                out.append(para)
+            para = ""
+            continue
+        cut_at = re.search(r"[-‐¬­]$", para)
+        lm = LEFT.search(para[-41:-1]) if cut_at else None
+        rm = RIGHT.match(line)
+        if lm is not None and rm is not None:
+            whole = f"{lm.group()}-{rm.group()}".lower() in compounds
+            para = (para[:-1] + "-" if whole else para[:-1]) + line
+        else:
+            para = f"{para} {line}" if para else line
+    if para:
+        out.append(para)
+    text = "\n\n".join(out)
+    if not words:
+        return text
+
+    def mend(m: re.Match) -> str:
+        raw = m.group()
+        w = clean_token(raw)
+        true = words.get(w.lower())
+        if true is None:
+            return raw
+        if w.isupper() and len(w) > 1:
+            true = true.upper()
+        elif w[:1].isupper() or not w[:1].isalpha() and w[1:2].isupper():
+            true = true[:1].upper() + true[1:]
+        return raw.replace(w, true, 1)
+
+    return re.sub(r"\S+", mend, text)
+
+
+def bigrams(texts: DataFrame, seconds: DataFrame) -> DataFrame:
+    """(prev, word, k): how often the corpus has a word behind another, for the words of ``seconds``."""
+    few = seconds.limit(200_001).count() <= 200_000
+    known = texts.sparkSession.sparkContext.broadcast(frozenset(r.word for r in seconds.collect()) if few else None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = known.value
+        n: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                ws = words_of(t)
+                n.update((a, b) for a, b in zip(ws, ws[1:], strict=False) if wanted is None or b in wanted)
+            if len(n) > 300_000:
+                yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["prev", "word", "k"])
+                n = Counter()
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["prev", "word", "k"])
+
+    raw = texts.select("text").mapInPandas(run, "prev string, word string, k bigint")
+    return raw.groupBy("prev", "word").agg(F.sum("k").alias("k")).join(seconds, "word", "left_semi")
+
+
+def repair(texts: DataFrame) -> DataFrame:
+    """(src, row_id, repaired_text) of the texts with damage."""
+    counts = cut(counted(texts))
+    pairs = cut(damaged_words(counts))
+    top = counts.join(pairs, "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
+    common = texts.sparkSession.sparkContext.broadcast(frozenset(r.word for r in top.select("word").collect()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, str | None] = {}
+        for pdf in batches:
+            rows = []
+            for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"], strict=True):
+                got = marks(t, common.value, memo)
+                if any(k == "char" for k, _, _ in got):
+                    ws = words_of(t)
+                    before = {b: a for a, b in zip(ws, ws[1:], strict=False)}
+                    got = [(k, w, before.get(w) if k == "char" else o) for k, w, o in got]
+                rows += [(s, r, *x) for x in got]
+            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "word", "other"])
+
+    found = cut(texts.select("src", "row_id", "text").mapInPandas(run, "src string, row_id bigint, kind string, word string, other string"))
+    char = found.where("kind = 'char'").select("src", "row_id", "word", F.coalesce("other", F.lit("")).alias("prev")).join(pairs.withColumnRenamed("true", "meant"), "word")
+    context = bigrams(texts, pairs.select(F.col("true").alias("word")).distinct()).select("prev", F.col("word").alias("meant"), "k")
+    char = char.join(context, ["prev", "meant"], "left")
+    best = char.groupBy("src", "row_id", "word").agg(F.max_by("meant", F.struct(F.log1p("m") + 2 * F.log1p(F.coalesce("k", F.lit(0))), "meant")).alias("meant"))
+    words = best.groupBy("src", "row_id").agg(F.collect_list(F.struct("word", "meant")).alias("words"))
+    joined, compound = counts.select("word", F.col("n").alias("n_joined")), counts.select(F.col("word").alias("other"), F.col("n").alias("n_compound"))
+    whole = found.where("kind = 'hyphen'").join(joined, "word", "left").join(compound, "other").where("n_compound > coalesce(n_joined, 0)")
+    whole = whole.groupBy("src", "row_id").agg(F.collect_set("other").alias("compounds"))
+    rows = found.where("kind != 'char'").select("src", "row_id").union(best.select("src", "row_id")).distinct()
+
+    @F.pandas_udf("string")
+    def mended(text: pd.Series, words: pd.Series, compounds: pd.Series) -> pd.Series:
+        return pd.Series([rebuild(t, {} if w is None else {x["word"]: x["meant"] for x in w}, set() if c is None else set(c)) for t, w, c in zip(text, words, compounds, strict=True)], dtype=object)
+
+    out = rows.join(texts, ["src", "row_id"]).join(words, ["src", "row_id"], "left").join(whole, ["src", "row_id"], "left")
+    return out.select("src", "row_id", mended("text", "words", "compounds").alias("repaired_text"))

@@ -103,6 +103,8 @@ def test_scan_damage(spark):
     got = {(r.row_id, r.kind) for r in scans.find(t.where("trim(text) != ''")).collect()}
     assert got == {(100, "hyphen"), (100, "header"), (100, "pageno"), (101, "char")}
     assert scans.find(t.limit(0)).count() == 0
+    fixed = {r.row_id: r.repaired_text for r in scans.repair(t.where("trim(text) != ''")).collect()}
+    assert fixed == {100: "the officer found the window open near the long-time friend the officer found the window open near the long-time friend", 101: "the officer found the window"}
 
 
 WORDS = "Zoë Jürgen café naïve Größe señor мама вчера пришла домой".split()
