@@ -144,10 +144,10 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def shares(drawn: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: target and reached share, quota and drawn tokens, documents and the most repeats."""
+    """Per mix and source: target share, reached share (of what was drawn) and share of the wanted size, quota and drawn tokens, documents and the most repeats."""
     got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("repeats_used"))
     total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus_tokens"))
     t = targets.select(F.col("mix_id").cast("int"), "source", "target_share", "max_repeats", "total_ratio")
     joined = t.join(got, ["mix_id", "source"], "left").fillna(0, ["drawn_tokens", "n_docs", "repeats_used"]).crossJoin(F.broadcast(total))
     all_ = F.sum("drawn_tokens").over(Window.partitionBy("mix_id"))  # a mix has as many rows as sources
-    return joined.select("mix_id", "source", "target_share", F.round(F.when(all_ > 0, F.col("drawn_tokens") / all_).otherwise(0.0), 6).alias("reached_share"), F.round(F.col("target_share") * F.col("total_ratio") * F.col("corpus_tokens")).cast("bigint").alias("quota_tokens"), "drawn_tokens", "n_docs", "repeats_used", "max_repeats")
+    return joined.select("mix_id", "source", "target_share", F.round(F.when(all_ > 0, F.col("drawn_tokens") / all_).otherwise(0.0), 6).alias("reached_share"), F.round(F.when(F.col("total_ratio") * F.col("corpus_tokens") > 0, F.col("drawn_tokens") / (F.col("total_ratio") * F.col("corpus_tokens"))).otherwise(0.0), 6).alias("share_of_wanted"), F.round(F.col("target_share") * F.col("total_ratio") * F.col("corpus_tokens")).cast("bigint").alias("quota_tokens"), "drawn_tokens", "n_docs", "repeats_used", "max_repeats")
