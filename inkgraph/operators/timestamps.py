@@ -5,7 +5,7 @@ zone (an offset, an abbreviation, a zone name, or nothing: then its agency's zon
 out as intervals of *local* time and exploded by year; parsed local times are joined as of those intervals on (zone,
 year).  Two matching intervals mean that the time exists twice, none that it never existed, one gives the offset.
 
-Scale.  One scan, no shuffle: the interval table has one row per (zone in use, year) with its few intervals in an
+Scale.  One scan, no shuffle, the parsed values cut into a checkpoint: the interval table has one row per (zone in use, year) with its few intervals in an
 array; zones in use are IANA names, so the table is bounded (``MAX_ZONES`` x years) and that bound is checked before it
 is broadcast.  No Python touches the rows.
 
@@ -24,6 +24,8 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgraph.session import cut
+
 MAX_ZONES = 700
 YEARS = (1900, 2100)
 
@@ -175,7 +177,8 @@ def normalize(values: DataFrame, text: str, zone: str, date_order: str, day: str
     """
     keep = values.columns
     spark = values.sparkSession
-    parsed = parse(values, text, date_order, day)
+    # Cut here: carried on into the join, the layers of the parse cost the optimizer seconds and the driver its heap.
+    parsed = cut(parse(values, text, date_order, day).select(*keep, "_p", "_local", "_off", "_named", "_epoch", "_y", "_mo"))
     known = available_timezones()
     inline = F.regexp_extract(F.col(text), r"\[([A-Za-z]+(?:/[A-Za-z_+-]+)+)\]\s*$", 1)
     used = values.where(F.col(text).contains("[")).select(inline.alias("z")).union(values.select(F.col(zone).alias("z"))).distinct().limit(100 * MAX_ZONES).collect()
@@ -202,8 +205,10 @@ def case_times(events: DataFrame, biographies: DataFrame, agencies: DataFrame) -
     zones = F.broadcast(agencies.select("agency_code", "zone_id", "date_order"))  # a fixed reference list
     ev = events.select("id", "agency_code", "ts_raw", "time_raw", "case_date").join(zones, "agency_code", "left")
     bio = biographies.select("id", "agency_code", F.posexplode("segments").alias("item_no", "seg")).join(zones, "agency_code", "left")
-    a = normalize(ev.select(F.lit("case_events.ts_raw").alias("src"), F.col("id").alias("row_id"), F.lit(0).alias("item_no"), F.col("ts_raw").alias("text"), "zone_id", "date_order"), "text", "zone_id", "date_order")
-    b = normalize(ev.select(F.lit("case_events.time_raw").alias("src"), F.col("id").alias("row_id"), F.lit(0).alias("item_no"), F.col("time_raw").alias("text"), "zone_id", "date_order", "case_date"), "text", "zone_id", "date_order", "case_date")
-    c = normalize(bio.select(F.lit("victim_biographies.time_text").alias("src"), F.col("id").alias("row_id"), "item_no", F.col("seg.time_text").alias("text"), "zone_id", "date_order"), "text", "zone_id", "date_order")
-    cols = ["src", "row_id", "item_no", "instant", "status"]
-    return a.select(*cols, "text").unionByName(b.select(*cols, "text")).unionByName(c.select(*cols, "text"))
+    cols = ["src", "row_id", "item_no", "text"]
+    a = ev.select(F.lit("case_events.ts_raw").alias("src"), F.col("id").alias("row_id"), F.lit(0).alias("item_no"), F.col("ts_raw").alias("text"), "zone_id", "date_order")
+    c = bio.select(F.lit("victim_biographies.time_text").alias("src"), F.col("id").alias("row_id"), "item_no", F.col("seg.time_text").alias("text"), "zone_id", "date_order")
+    b = ev.select(F.lit("case_events.time_raw").alias("src"), F.col("id").alias("row_id"), F.lit(0).alias("item_no"), F.col("time_raw").alias("text"), "zone_id", "date_order", "case_date")
+    full = normalize(a.unionByName(c), "text", "zone_id", "date_order").select(*cols, "instant", "status")
+    clock = normalize(b, "text", "zone_id", "date_order", "case_date").select(*cols, "instant", "status")
+    return full.unionByName(clock)
