@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.operators.ordered import position
-from inkgraph.session import cut
+from inkgraph.session import written
 
 
 def first_by(df: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
@@ -57,8 +57,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int |
     ends = adj.select(F.col("src").alias("id")).union(adj.select(F.col("dst").alias("id")))
     ids = (ends if nodes is None else ends.union(nodes.select("id"))).distinct()
     out_deg = adj.groupBy("src").agg(F.count("*").alias("deg"))
-    ids = cut(ids.join(out_deg.withColumnRenamed("src", "id"), "id", "left"))
-    adj = cut(adj)
+    ids = written(ids.join(out_deg.withColumnRenamed("src", "id"), "id", "left"))
+    adj = written(adj)
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("score"))
@@ -70,7 +70,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int |
         new = ranks.select("id", "deg", F.col("score").alias("old")).join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
         new = new.select("id", "deg", "old", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         if iterations is None or (i + 1) % every == 0:
-            new = cut(new)
+            new = written(new)
         if iterations is None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tol:
             return new.select("id", "score")
         ranks = new.select("id", "deg", "score")
@@ -85,6 +85,31 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return deg.crossJoin(F.broadcast(n)).select("id", F.when(F.col("n") > 1, F.col("deg") / (F.col("n") - 1)).otherwise(0.0).alias("score"))
 
 
+def eigenvector(edges: DataFrame, iterations: int = 30, every: int = 4) -> DataFrame:
+    """(id, score): eigenvector centrality over in-edges by power iteration, scaled to a greatest score of 1."""
+    adj = written(adjacency(edges))
+    ids = written(adj.select(F.col("src").alias("id")).union(adj.select(F.col("dst").alias("id"))).distinct())
+    ranks = ids.withColumn("score", F.lit(1.0))
+    for i in range(iterations):
+        got = adj.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
+        new = ids.join(got, "id", "left").join(ranks, "id").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        top = new.agg(F.max("score").alias("top"))
+        ranks = new.crossJoin(F.broadcast(top)).select("id", (F.col("score") / F.col("top")).alias("score"))  # one row
+        if (i + 1) % every == 0:
+            ranks = written(ranks)
+    return ranks
+
+
+def ranks_or_fallback(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """Scores and the method that gave them: PageRank, with more rounds, eigenvector centrality, then degrees."""
+    for name, f in (("pagerank", lambda: pagerank(edges, nodes)), ("pagerank_200", lambda: pagerank(edges, nodes, most=200)), ("eigenvector", lambda: eigenvector(edges)), ("degree", lambda: degree_centrality(edges))):
+        scores = f()
+        bad = scores.where(F.isnan("score") | F.col("score").isNull()).limit(1).count()
+        if not bad:
+            return scores, name
+    return scores, name
+
+
 def score_stats(scores: DataFrame) -> DataFrame:
     """One row: n, min, max, mean, median and the significance threshold (mean + half a sample deviation; 0.3 max up to ten)."""
     s = scores.agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_samp("score").alias("sd"))

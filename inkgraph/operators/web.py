@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkgraph.functions import fixed, text
 from inkgraph.operators.ordered import running
-from inkgraph.session import cut
+from inkgraph.session import written
 
 
 def pages(documents: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def frontier(links: DataFrame, root: str, most: int = 3) -> DataFrame:
         if not rows:
             return seen
         level = spark.createDataFrame([(have + i, r.url) for i, r in enumerate(rows)], "visit bigint, url string")
-        seen = cut(seen.union(level))
+        seen = written(seen.union(level))
 
 
 def prompt(p: DataFrame) -> Column:

@@ -544,3 +544,79 @@ def s1(spark, sf):
 @query("m1_positions", "SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS pos FROM entities")
 def m1(spark, sf):
     return position(table(spark, sf, "entities"), ["case_id"], F.floor(F.col("id") / 1000), ["id"], "pos").select("case_id", "id", "pos")
+
+
+# --- assemblies -------------------------------------------------------------------------------------------------
+@query("b16_safe_names", "SELECT doc_id, regexp_replace(substring(title, 1, 30), '[^A-Za-z0-9]+', '-', 'g') AS file FROM documents WHERE title IS NOT NULL")
+def b16(spark, sf):
+    return table(spark, sf, "documents").where("title is not null").select("doc_id", F.regexp_replace(F.substring("title", 1, 30), "[^A-Za-z0-9]+", "-").alias("file"))
+
+
+_KEYS = ["speakers", "topics_discussed", "key_points", "decisions", "decisions_made", "next_steps", "error_info", "content_stats", "takeaways", "other_section"]
+
+
+@query("b17_section_titles", f"SELECT k AS key, CASE k {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in fixed.SECTION_TITLES.items())} ELSE array_to_string(list_transform(string_split(k, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS title FROM (SELECT unnest({_KEYS}) AS k)")
+def b17(spark, sf):
+    return spark.createDataFrame([(k,) for k in _KEYS], "key string").select("key", text.section_title(F.col("key")).alias("title"))
+
+
+@query("f7_case_pool", f"WITH m AS (SELECT case_id, {SQL_COREF.format('x')} AS norm, x AS mention, o FROM (SELECT case_id, unnest(mentions) AS x, global_id AS o FROM global_entities)) SELECT case_id, norm, count(DISTINCT mention) AS n_mentions, min(o) AS first_id FROM m WHERE norm <> '' GROUP BY ALL")
+def f7(spark, sf):
+    g = table(spark, sf, "global_entities").select("case_id", F.explode("mentions").alias("mention"), F.col("global_id").alias("ord"), F.coalesce("entity_type", F.lit("UNKNOWN")).alias("label"), F.lit("").alias("source"))
+    p = ent.pool(g.withColumn("norm", text.coref_norm(F.col("mention"))).where("norm != ''"), ["case_id"])
+    first = g.withColumn("norm", text.coref_norm(F.col("mention"))).groupBy("case_id", "norm").agg(F.min("ord").alias("first_id"))
+    return p.join(first, ["case_id", "norm"]).select("case_id", "norm", F.size("mentions").cast("bigint").alias("n_mentions"), "first_id")
+
+
+@query("k2_event_nodes", "SELECT event_id, min(id) AS first_row, arg_min(coalesce(description, ''), id) AS description FROM case_events WHERE event_id IS NOT NULL GROUP BY event_id")
+def k2(spark, sf):
+    e = table(spark, sf, "case_events").where("event_id is not null").select("event_id", F.col("id").alias("first_row"), F.coalesce("description", F.lit("")).alias("description"))
+    return graph.first_by(e, ["event_id"], "first_row", ["first_row", "description"])
+
+
+@query("m1_node_dedupe", f"SELECT id, arg_min(text, ord) AS text, arg_min(label, ord) AS label FROM (SELECT 'ENT_' || replace(lower({sql_squeeze('entity_name')}), ' ', '_') AS id, entity_name AS text, coalesce(entity_type, 'Unknown') AS label, id AS ord FROM entities WHERE trim(entity_name) <> '') GROUP BY id")
+def m1n(spark, sf):
+    n = table(spark, sf, "entities").where("trim(entity_name) != ''").select(text.entity_id(F.col("entity_name")).alias("id"), F.col("entity_name").alias("text"), F.col("entity_type").alias("label"), F.col("id").alias("ord"))
+    return graph.dedupe_nodes(n).select("id", "text", "label")
+
+
+@query("k10_nodes_by_type", f"""WITH p AS (SELECT 'Entity' AS type, 'ENT_' || replace(lower({sql_squeeze('entity_name')}), ' ', '_') AS id FROM entities WHERE trim(entity_name) <> '' UNION ALL SELECT 'Event', event_id FROM case_events WHERE event_id IS NOT NULL
+    UNION ALL SELECT 'Location', 'LOC_' || replace(lower({sql_squeeze('location')}), ' ', '_') FROM {_LOC} UNION ALL SELECT 'Time', 'TIME_' || regexp_replace(iso, '[:T-]', '', 'g') FROM {_ISO.replace('PAT', f'{chr(39)}{_LENIENT}{chr(39)}')} WHERE iso IS NOT NULL) SELECT type, count(DISTINCT id) AS n FROM p GROUP BY type""")
+def k10(spark, sf):
+    events = table(spark, sf, "case_events")
+    e = table(spark, sf, "entities").where("trim(entity_name) != ''").select(F.lit("Entity").alias("type"), text.entity_id(F.col("entity_name")).alias("id"))
+    v = events.where("event_id is not null").select(F.lit("Event").alias("type"), F.col("event_id").alias("id"))
+    loc = ev.locations(events).select(F.lit("Location").alias("type"), text.entity_id(F.col("location"), "LOC_").alias("id"))
+    t = _timed(spark, sf).where("time_resolved is not null").select(F.lit("Time").alias("type"), text.time_id(F.col("time_resolved")).alias("id"))
+    return e.unionByName(v).unionByName(loc).unionByName(t).distinct().groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("o3_link_kinds", "WITH l AS (" + SQL["b14_links"] + ") SELECT link IS NULL AS dropped, count(*) AS n, count(*) FILTER (contains(link, '://other.') OR contains(link, '://cdn.')) AS n_external FROM l GROUP BY 1")
+def o3(spark, sf):
+    base = F.concat(F.lit("https://"), F.replace("source", F.lit("_"), F.lit("-")), F.lit(".example"))
+    d = table(spark, sf, "documents").where("source is not null").select(base.alias("base"), F.explode(F.array(*[F.expr(x) for x in _LINKS])).alias("href")).withColumn("link", text.absolute_link(F.col("href"), F.col("base")))
+    outside = F.parse_url("link", F.lit("AUTHORITY")) != F.parse_url("base", F.lit("AUTHORITY"))
+    return d.groupBy(F.col("link").isNull().alias("dropped")).agg(F.count("*").alias("n"), F.count_if(outside).alias("n_external"))
+
+
+@query("o4_site_analysis", f"WITH {_PAGES} SELECT site, count(*) AS total_pages, sum(word_count)::BIGINT AS words, sum(token_estimate)::BIGINT AS tokens, sum(len(labels))::BIGINT AS labels, count(DISTINCT title) AS titles FROM pg GROUP BY site")
+def o4(spark, sf):
+    p = web.pages(table(spark, sf, "documents"))
+    return p.groupBy("site").agg(F.count("*").alias("total_pages"), F.sum("word_count").alias("words"), F.sum("token_estimate").alias("tokens"), F.sum(F.size("labels")).cast("bigint").alias("labels"), F.count_distinct("title").alias("titles"))
+
+
+@query("n9_metrics", "SELECT 'entities' AS metric, count(*) AS value FROM entities UNION ALL SELECT 'relations', count(*) FROM edges_relations UNION ALL SELECT 'events', count(*) FROM case_events UNION ALL SELECT 'edges', count(*) FROM graph_edges UNION ALL SELECT 'edge types', count(DISTINCT edge_type) FROM graph_edges UNION ALL SELECT 'connected nodes', count(*) FROM (SELECT source_id FROM graph_edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL)")
+def n9(spark, sf):
+    g = table(spark, sf, "graph_edges")
+    n = lambda name, df: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
+    ends = g.select(F.col("source_id").alias("id")).union(g.select("target_id")).where("id is not null").distinct()
+    parts = [n("entities", table(spark, sf, "entities")), n("relations", table(spark, sf, "edges_relations")), n("events", table(spark, sf, "case_events")), n("edges", g), g.agg(F.lit("edge types").alias("metric"), F.count_distinct("edge_type").alias("value")), n("connected nodes", ends)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("l2_eigenvector")
+def l2e(spark, sf):
+    return graph.eigenvector(table(spark, sf, "graph_edges"), iterations=8)

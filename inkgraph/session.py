@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,8 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` is read from the session; a folder of our own is only set where it is unset
     (local mode), never on a cluster that names one.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set where it is not."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkgraph-ckpt-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage, and with it the size estimates, by a table written to the shared checkpoint folder.
+
+    A checkpoint hands on the plan's estimated size; in a loop of joins those estimates multiply round by round until
+    the numbers themselves fill the driver.  A table read back has the size that it has.
+    """
+    path = f"{_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

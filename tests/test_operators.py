@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkgraph.functions import text
-from inkgraph.operators import entities, events, graph, providers, quality, relations, segment, web
+from inkgraph.operators import entities, events, graph, parses, payloads, providers, quality, relations, segment, web
 from inkgraph.operators.ordered import following, position, running
 from inkgraph.operators.timestamps import case_times, normalize, zone_intervals
 from inkgraph.sources import files
@@ -215,3 +215,31 @@ def test_case_times_empty(spark):
     bio = spark.createDataFrame([(1, None, None)], "id bigint, agency_code string, segments array<struct<time_text:string,seg_text:string>>")
     ag = spark.createDataFrame([], "agency_code string, zone_id string, date_order string")
     assert case_times(ev, bio, ag).count() == 0
+
+
+def parse(*rows):
+    return [dict(zip(("text", "lemma", "pos", "dep", "ent", "head"), r, strict=True)) for r in rows]
+
+
+def test_triples_and_patterns(spark):
+    s = parse(("The", "the", "DET", "det", "", 1), ("officer", "officer", "NOUN", "nsubj", "ROLE", 2), ("arrived", "arrive", "VERB", "ROOT", "", -1), ("at", "at", "ADP", "prep", "", 2), ("home", "home", "NOUN", "pobj", "", 3))
+    assert parses.triples_of(s) == [{"subject": "The officer", "predicate": "arrive", "object": "home"}] and parses.triples_of([]) == []
+    m = parse(("Ann", "Ann", "PROPN", "nsubj", "PERSON", 1), ("interviewed", "interview", "VERB", "ROOT", "", -1), ("Bob", "Bob", "PROPN", "dobj", "PERSON", 1))
+    assert parses.matches_of(m) == [{"subject": "Ann", "predicate": "INTERVIEWED", "object": "Bob"}]
+    d = spark.createDataFrame([(1, s), (2, None)], f"id int, p array<{parses.TOKEN}>")
+    assert {r.id: len(r.t) for r in d.select("id", parses.triples("p").alias("t")).collect()} == {1: 1, 2: 0}
+
+
+def test_payloads(spark):
+    rows = [(1, '{"overview": "o", "content_type": "x", "sections": {"next_steps": ["a", "b"], "none": []}}'), (2, '```json\n{"overview": "p", "highlights": ["h"]}\n```'), (3, "bad")]
+    d = spark.createDataFrame(rows, "id int, t string").select("id", payloads.summary(F.col("t")).alias("s"))
+    got = {(r.id, r.section, r.idx, r.line) for r in payloads.report(d, "id", "s").collect()}
+    assert got == {(1, "Next Steps", 0, "a"), (1, "Next Steps", 1, "b"), (2, "Highlights", 0, "h")}
+
+
+def test_fallback_chain(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "c", "a")], "edge_id int, source_id string, target_id string")
+    scores, name = graph.ranks_or_fallback(e)
+    assert name == "pagerank" and scores.count() == 3
+    top = {r.id: r.score for r in graph.eigenvector(e).collect()}
+    assert top["a"] == max(top.values()) == 1.0
