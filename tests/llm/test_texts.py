@@ -122,13 +122,13 @@ def garble(text, true, read):
 
 def test_wrong_encodings(spark):
     clean = "Zoë and Jürgen had a café señor. Мама вчера пришла домой поздно."
-    rows = [(i, clean) for i in range(20)] + [(100, garble(clean, "utf-8", "cp1252")), (101, garble("Zoë und Jürgen", "utf-8", "cp437")), (102, garble(garble(clean, "utf-8", "cp1252"), "utf-8", "cp1252")), (103, garble("вчера мама пришла домой", "koi8_r", "cp1251")),
+    rows = [(i, clean) for i in range(20)] + [(100, garble(clean, "utf-8", "cp1252")), (101, garble("Zoë und Jürgen", "utf-8", "cp437")), (102, garble(garble(clean, "utf-8", "cp1252"), "utf-8", "cp1252")), (103, garble("вчера пришла домой поздно", "koi8_r", "cp1251")),
             (104, "caf� and J�rgen"), (105, "MÃE E A IRMÃ FORAM"), (106, None), (107, ""), (108, garble("窗户碎了但没有血迹。谁最后见过她？", "gb18030", "cp1252")), (109, "plain ascii")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as kinds")
     got = {r.doc_id for r in mojibake.find(d).collect()}
     assert got == {100, 101, 102, 103, 104, 108}
     fixed = {r.doc_id: r.restored_text for r in mojibake.restore(d).collect()}
-    assert fixed[100] == fixed[102] == clean and fixed[101] == "Zoë und Jürgen" and fixed[103] == "вчера мама пришла домой" and fixed[104] == "café and Jürgen" and fixed[108].startswith("窗户碎了")
+    assert fixed[100] == fixed[102] == clean and fixed[101] == "Zoë und Jürgen" and fixed[103] == "вчера пришла домой поздно" and fixed[104] == "café and Jürgen" and fixed[108].startswith("窗户碎了")
     assert mojibake.find(d.limit(0)).count() == 0
 
 
