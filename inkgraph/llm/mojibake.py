@@ -5,7 +5,7 @@ damaged span is turned back into its byte lattice: each character is one byte of
 replacement character (U+FFFD) is a wildcard for lost bytes.  Paths through the lattice that are well formed in the true
 encoding are the candidates; the best path is found with Viterbi search over UTF-8 sequences inside a span and, between
 whole words, by the word frequencies of the corpus: a reading wins when the corpus says it more often than the text as
-it stands.  Lost bytes are filled by the most frequent corpus word that fits the lattice.
+it stands.  Lost bytes are filled by the most frequent corpus word that fits their number and all that survived.
 
 Scale.  One Python pass over the texts finds what is certain by form (UTF-8 sequences, multi-byte runs, C1 controls,
 replacement characters) and gives the distinct words with letters outside ASCII, a small share of the text.  Word counts
@@ -14,7 +14,8 @@ so nothing is broadcast and no list of documents is collected.  A document goes
 source, language or case, so a hot key makes no hot task.
 
 Edge cases: null and blank texts are never damaged; texts without characters outside ASCII are skipped at once;
-replacement characters that no corpus word fits stay in the restored text (``restored`` false); decomposed accents and
+replacement characters that no corpus word fits, or beside which no letter
+survived, stay in the restored text (``restored`` false); decomposed accents and
 foreign scripts are no damage; repeated rows give repeated judgements under their own ids; extra columns are ignored.
 """
 
@@ -205,6 +206,36 @@ def hole_key(word: str) -> str:
     return re.sub(r"[^\x00-\x7f]+", "�", word)
 
 
+def block_keys(word: str) -> list[str]:
+    """Keys under which a lost word may meet whole ones: its ASCII letters, else up to three surviving signs in a row."""
+    hole = hole_key(word)
+    if any(c.isalpha() for c in hole.replace("�", "")):
+        return [hole]
+    if "�" in word:
+        kept = [x for x in re.findall(r"[^\x00-\x7f�]+", word) if any(c.isalpha() for c in x)]
+        return [hole + max(kept, key=len)[:3]] if kept else []
+    return sorted({hole + word[i : i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1)})
+
+
+def fits(word: str, whole: str) -> int:
+    """How many letters a whole word puts into the holes of a lost one, 0 if it does not fit.
+
+    What survived stays as it is, and a letter takes one to as many U+FFFD as it has bytes.
+    """
+    at = {0: 0}  # place in the lost word: fewest letters lost on the way there
+    for c in whole:
+        then: dict[int, int] = {}
+        for i, n in at.items():
+            if word[i : i + 1] == c:
+                then[i + 1] = min(n, then.get(i + 1, n))
+            for k in range(1, len(c.encode("utf-8", "replace")) + 1 if c > "\x7f" else 1):
+                if word[i : i + k] != "�" * k:
+                    break
+                then[i + k] = min(n + 1, then.get(i + k, n + 1))
+        at = then
+    return at.get(len(word), 0)
+
+
 def analyse(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per text: doc_id, fixed (text after the repairs that are certain by form), kinds, words."""
 
@@ -228,16 +259,26 @@ def word_fixes(seen: DataFrame) -> DataFrame:
     def other(words: pd.Series) -> pd.Series:
         return words.map(readings)
 
+    @F.pandas_udf("array<string>")
+    def blocks(words: pd.Series) -> pd.Series:
+        return words.map(block_keys)
+
+    @F.pandas_udf("bigint")
+    def fit(words: pd.Series, wholes: pd.Series) -> pd.Series:
+        return pd.Series([fits(a, b) for a, b in zip(words, wholes, strict=True)], dtype="int64")
+
     known = counts.where(~F.col("word").contains("�"))
     cand = known.withColumn("fix", F.explode(other("word")))
     freq = known.select(F.col("word").alias("fix"), F.col("n").alias("m"))
     single = cand.join(freq, "fix").where((F.col("m") >= 3) & (F.col("m") > 2 * F.col("n")))
     single = single.groupBy("word").agg(F.max_by("fix", F.struct("m", "fix")).alias("fix")).withColumn("kind", F.lit("single-byte encodings"))
-    # lost bytes: the most frequent word with the same ASCII letters around its holes
-    hole = F.regexp_replace("word", r"[^\x00-\x7f]+", "�")
-    lost = counts.where(F.col("word").contains("�")).select("word", hole.alias("hole"), F.length("word").alias("size"))
-    whole = known.select(F.col("word").alias("fix"), F.col("n").alias("m"), hole.alias("hole"))
-    filled = lost.join(whole, "hole").groupBy("word").agg(F.max_by("fix", F.struct("m", "fix")).alias("fix")).withColumn("kind", F.lit("lost bytes"))
+    # lost bytes: the most frequent word that fits what is left; with less left than lost, only if no other fits
+    left = F.length(F.regexp_replace("word", r"[^\p{L}\p{M}]", ""))
+    lost = counts.where(F.col("word").contains("�")).select("word", F.explode(blocks("word")).alias("block"))
+    whole = known.select(F.col("word").alias("fix"), F.col("n").alias("m"), F.explode(blocks("word")).alias("block"))
+    fit_by = lost.join(whole, "block").withColumn("gone", fit("word", "fix")).where("gone > 0")
+    filled = fit_by.groupBy("word").agg(F.max_by(F.struct("fix", "gone"), F.struct("m", "fix")).alias("best"), F.count("*").alias("fitting"))
+    filled = filled.where((left >= F.col("best.gone")) | (F.col("fitting") == 1)).select("word", "best.fix", F.lit("lost bytes").alias("kind"))
     return single.unionByName(filled)
 
 

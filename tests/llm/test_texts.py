@@ -137,3 +137,10 @@ def test_round_trip_by_form(read):
     text = "Zoë L’Hermoise « déjà » — Größe"
     assert mojibake.by_form(garble(text, "utf-8", read))[0] == text
     assert mojibake.by_form(text) == (text, set())
+
+
+def test_lost_bytes_need_evidence(spark):
+    texts = ["à"] * 5 + ["слово ответ"] * 3 + ["été"] * 2 + ["Birkestrom � a friend", "��� �����", "сло�о", "сл��во", "�t� l����������e"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.restored_text, r.restored) for r in mojibake.restore(d).collect()}
+    assert got == {10: ("Birkestrom � a friend", False), 11: ("��� �����", False), 12: ("слово", True), 13: ("слово", True), 14: ("été l����������e", False)}
