@@ -3,9 +3,9 @@
 Method: noisy-channel decoding.  The channel is a pair (encoding the bytes were in, encoding they were read in).  Every
 damaged span is turned back into its byte lattice: each character is one byte of the encoding it was read in, a
 replacement character (U+FFFD) is a wildcard for lost bytes.  Paths through the lattice that are well formed in the true
-encoding are the candidates; the best path is found with Viterbi search over UTF-8 sequences inside a span and, between
-whole words, by the word frequencies of the corpus: a reading wins when the corpus says it more often than the text as
-it stands.  Lost bytes are filled by the most frequent corpus word that fits their number and all that survived.
+encoding are the candidates; UTF-8 sequences without lost bytes cannot overlap and are read as they stand.  Of single-byte
+channels a word wins by the word frequencies of the corpus when it is said more often than the text as it stands, or lies
+on the best path of a Viterbi search over the words of its text, whose states are the channels.  Lost bytes are filled by the most frequent corpus word that fits their number and all that survived.
 
 Scale.  One Python pass over the texts finds what is certain by form (UTF-8 sequences, multi-byte runs, C1 controls,
 replacement characters) and gives the distinct words with letters outside ASCII, a small share of the text.  Word counts
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,6 +46,8 @@ WORD_CHANNELS = (
 #: (read as, true) pairs with a multi-byte true encoding, judged by line.
 LINE_CHANNELS = (("cp1252", "gb18030"), ("cp1252", "cp932"), ("cp1252", "euc_jp"), ("cp1252", "big5"), ("cp1252", "euc_kr"), ("mac_roman", "gb18030"), ("mac_roman", "cp932"), ("cp437", "gb18030"), ("cp437", "cp932"), ("cp1251", "gb18030"))
 
+#: What entering a channel costs in a text, as a logarithm of document counts.
+ENTER = 2.0
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
@@ -54,8 +58,8 @@ LATIN = re.compile("[\u00a0-\u017f\u0192\u0218-\u021b\u02c6\u02dc\u2010-\u2044\u
 OTHER = re.compile(r"[Ά-ώЀ-џҐґא-ת،-ْ٪-٬ऀ-ॿก-๛　-ヿ㐀-䶿一-鿿가-힣＀-￯]+")
 
 
-def as_bytes(s: str, codec: str) -> bytes | None:
-    """The bytes that ``codec`` read as ``s``; undefined bytes are read as C1 controls."""
+def as_bytes(s: str, codec: str, gap: bytes | None = None) -> bytes | None:
+    """The bytes that ``codec`` read as ``s``; undefined bytes are read as C1 controls, other signs as ``gap``."""
     try:
         return s.encode(codec)
     except UnicodeEncodeError:
@@ -64,15 +68,22 @@ def as_bytes(s: str, codec: str) -> bytes | None:
             try:
                 out += c.encode(codec)
             except UnicodeEncodeError:
-                if ord(c) > 255:
+                if ord(c) <= 255:
+                    out.append(ord(c))
+                elif gap is None:
                     return None
-                out.append(ord(c))
+                else:
+                    out += gap
         return bytes(out)
 
 
 def read_utf8(run: str, codec: str) -> tuple[str, int, int] | None:
-    """The best path through a run of characters: (reading, characters won, sequences of other scripts)."""
-    raw = as_bytes(run, codec)
+    """The best path through a run of characters: (reading, characters won, sequences of other scripts).
+
+    Without lost bytes UTF-8 sequences cannot overlap, so every path is a choice of sequences read or left.  A U+FFFD or
+    a character that is no byte ends a sequence; sequences with lost bytes are left to the words of the corpus.
+    """
+    raw = as_bytes(run, codec, b"\0")
     if raw is None or len(raw) != len(run):
         return None
     out, at, won, foreign = [], 0, 0, 0
@@ -103,7 +114,7 @@ def by_form(text: str) -> tuple[str, set[str]]:
             cyrillic = codec in CYRILLIC
             fixes = {}
             for run, (reading, won, f) in found.items():
-                if won < (0.75 if f or cyrillic else 0.5) * len(run) or f and foreign < 3:  # one odd pair is no script
+                if won < (0.75 if f or cyrillic else 0.5) * (len(run) - run.count("�")) or f and foreign < 3:  # one odd pair is no script
                     continue
                 fixes[run] = reading
             total = sum(found[r][1] for r in fixes)
@@ -164,14 +175,14 @@ def read_line(line: str, kinds: set[str]) -> str:
 
 
 def words_outside_ascii(text: str) -> list[str]:
-    """Distinct words with characters outside ASCII in alphabetic scripts (no ideographs, Thai, Arabic or Indic)."""
-    out = set()
+    """Distinct words with characters outside ASCII in alphabetic scripts (no ideographs, Thai, Arabic or Indic), as they come."""
+    out: dict[str, None] = {}
     for w in text.split():
         if not w.isascii():
             w = w.strip(EDGE)
             if w and len(w) <= 60 and not w.isascii() and not re.search(r"[֐-႟ᜀ-῿⺀-￯]", w.replace("�", "")):
-                out.add(w)
-    return sorted(out)
+                out[w] = None
+    return list(out)
 
 
 def one_script(s: str) -> bool:
@@ -180,10 +191,11 @@ def one_script(s: str) -> bool:
     return bool(letters) and cyr in (0, len(letters))
 
 
-def readings(word: str) -> list[str]:
-    """Other readings of a word through the single-byte channels."""
-    out = set()
-    for codec, true in WORD_CHANNELS:
+@lru_cache(maxsize=100_000)
+def through(word: str) -> tuple[tuple[int, str, str], ...]:
+    """(channel, reading, the word in it) of a word through the single-byte channels."""
+    out = []
+    for n, (codec, true) in enumerate(WORD_CHANNELS):
         raw = as_bytes(word, codec)
         if raw is None:
             continue
@@ -191,14 +203,44 @@ def readings(word: str) -> list[str]:
             c = raw.decode(true)
         except UnicodeDecodeError:
             continue
-        c = c.strip(EDGE)
+        full, c = c, c.strip(EDGE)
         if not c or c == word or not one_script(c) or not all(x.isalpha() or x in "'’-.º°ª" for x in c):
             continue
         crossed = any("Ͱ" <= x <= "ۿ" for x in c) != any("Ͱ" <= x <= "ۿ" for x in word)
         if (crossed or any("Ѐ" <= x <= "ӿ" for x in c)) and sum(x.isalpha() for x in c) < 3:
             continue
-        out.add(c)
-    return sorted(out)
+        out.append((n, full, c))
+    return tuple(out)
+
+
+def readings(word: str) -> list[str]:
+    """Other readings of a word through the single-byte channels."""
+    return sorted({c for _, _, c in through(word)})
+
+
+def best_path(words: list[tuple[str, int, dict[str, int]]]) -> list[tuple[str, str]]:
+    """(word, fix) on the likeliest path through the channels: Viterbi search over the words of one text.
+
+    ``words``: (word, documents with it, reading: documents with it).  A state is a channel, or none; a channel is
+    entered at a cost that a few words must outweigh, and carries words that the corpus knows no better or not at all.
+    """
+    score, back = {-1: 0.0}, []
+    for word, n, known in words:
+        asis, other = log(n), {c: (full, x) for c, full, x in through(word)}
+        top = max(score, key=lambda c: (score[c], -c))
+        then, came = {}, {}
+        for c in {-1, *score, *other}:
+            enter = score[top] - (ENTER if c >= 0 else 0.0)
+            came[c], base = (c, score[c]) if score.get(c, enter - 1) >= enter else (top, enter)
+            then[c] = base + (log(known.get(other[c][1], 1)) if c in other else asis)
+        back.append((came, other))
+        score = then
+    out, c = [], max(score, key=lambda c: (score[c], c >= 0, -c))
+    for (word, _, _), (came, other) in zip(reversed(words), reversed(back), strict=True):
+        if c in other:
+            out.append((word, other[c][0]))
+        c = came[c]
+    return out[::-1]
 
 
 def hole_key(word: str) -> str:
@@ -207,21 +249,34 @@ def hole_key(word: str) -> str:
 
 
 def block_keys(word: str) -> list[str]:
-    """Keys under which a lost word may meet whole ones: its ASCII letters, else up to three surviving signs in a row."""
+    """Keys under which a lost word may meet whole ones: its ASCII letters, else surviving signs, three in a row if there are."""
     hole = hole_key(word)
     if any(c.isalpha() for c in hole.replace("�", "")):
         return [hole]
     if "�" in word:
         kept = [x for x in re.findall(r"[^\x00-\x7f�]+", word) if any(c.isalpha() for c in x)]
-        return [hole + max(kept, key=len)[:3]] if kept else []
+        size = min(3, max(map(len, kept), default=0))
+        return sorted({hole + x[i : i + size] for x in kept for i in range(len(x) - size + 1)})
     return sorted({hole + word[i : i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1)})
 
 
 def fits(word: str, whole: str) -> int:
     """How many letters a whole word puts into the holes of a lost one, 0 if it does not fit.
 
-    What survived stays as it is, and a letter takes one to as many U+FFFD as it has bytes.
+    What survived stays as it is, and a letter takes one to as many U+FFFD as it has bytes, or one sign for each of its
+    UTF-8 bytes as an encoding reads it, of which U+FFFD is any.
     """
+    return max(through_lattice(word, whole, codec) for codec in UTF8_READ_AS)
+
+
+@lru_cache(maxsize=10_000)
+def signs(c: str, codec: str) -> tuple[str, ...]:
+    """The UTF-8 bytes of a character, each as ``codec`` reads it."""
+    return tuple(bytes([b]).decode(codec, "ignore") or chr(b) for b in c.encode("utf-8", "replace"))
+
+
+def through_lattice(word: str, whole: str, codec: str) -> int:
+    """The letters lost on the path through the byte lattice of ``word`` that spells ``whole``, 0 if none does."""
     at = {0: 0}  # place in the lost word: fewest letters lost on the way there
     for c in whole:
         then: dict[int, int] = {}
@@ -232,6 +287,11 @@ def fits(word: str, whole: str) -> int:
                 if word[i : i + k] != "�" * k:
                     break
                 then[i + k] = min(n + 1, then.get(i + k, n + 1))
+            read = signs(c, codec) if c > "\x7f" else ()
+            part = word[i : i + len(read)]
+            if len(part) == len(read) > 1 and all(x in (y, "�") for x, y in zip(part, read, strict=True)):
+                lost = n + ("�" in part)
+                then[i + len(read)] = min(lost, then.get(i + len(read), lost))
         at = then
     return at.get(len(word), 0)
 
@@ -276,26 +336,45 @@ def word_fixes(seen: DataFrame) -> DataFrame:
     left = F.length(F.regexp_replace("word", r"[^\p{L}\p{M}]", ""))
     lost = counts.where(F.col("word").contains("�")).select("word", F.explode(blocks("word")).alias("block"))
     whole = known.select(F.col("word").alias("fix"), F.col("n").alias("m"), F.explode(blocks("word")).alias("block"))
-    fit_by = lost.join(whole, "block").withColumn("gone", fit("word", "fix")).where("gone > 0")
+    fit_by = lost.join(whole, "block").drop("block").distinct().withColumn("gone", fit("word", "fix")).where("gone > 0")
     filled = fit_by.groupBy("word").agg(F.max_by(F.struct("fix", "gone"), F.struct("m", "fix")).alias("best"), F.count("*").alias("fitting"))
     filled = filled.where((left >= F.col("best.gone")) | (F.col("fitting") == 1)).select("word", "best.fix", F.lit("lost bytes").alias("kind"))
     return single.unionByName(filled)
 
 
+def doc_fixes(rows: DataFrame) -> DataFrame:
+    """(doc_id, word, fix, kind): what the counts say of a word anywhere, and what the path through its text says."""
+    seen = rows.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    sure = seen.select("doc_id", "word").join(word_fixes(seen), "word").select("doc_id", "word", "fix", "kind")
+    counts = seen.where(~F.col("word").contains("�")).groupBy("word").agg(F.count("*").alias("n"))
+
+    @F.pandas_udf("array<string>")
+    def other(words: pd.Series) -> pd.Series:
+        return words.map(readings)
+
+    @F.pandas_udf("array<struct<word string, fix string>>")
+    def path(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"word": w, "fix": f} for w, f in best_path([(x["word"], x["n"], {k["fix"]: k["m"] for k in x["known"]} if x["known"] is not None else {}) for x in t])])
+
+    known = counts.withColumn("fix", F.explode(other("word"))).join(counts.select(F.col("word").alias("fix"), F.col("n").alias("m")), "fix")
+    known = known.groupBy("word").agg(F.max((F.col("m") > F.col("n")).cast("int")).alias("gain"), F.collect_list(F.struct("fix", "m")).alias("known"))
+    words = seen.join(counts, "word").join(known, "word", "left")
+    texts = words.groupBy("doc_id").agg(F.max("gain").alias("gain"), F.array_sort(F.collect_list(F.struct("pos", "word", "n", "known"))).alias("t")).where("gain = 1")
+    told = texts.select("doc_id", F.inline(path("t"))).withColumn("kind", F.lit("single-byte encodings"))
+    return sure.unionByName(told.join(sure.select("doc_id", "word"), ["doc_id", "word"], "left_anti"))
+
+
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id of every document of which at least part was decoded with the wrong encoding."""
     rows = cut(analyse(df, doc_id, text).select("doc_id", "kinds", "words"))  # read by several branches below
-    seen = rows.select("doc_id", F.explode("words").alias("word"))
-    fixes = word_fixes(seen).select("word").distinct()
-    worded = seen.join(fixes, "word").select("doc_id")
+    worded = doc_fixes(rows).select("doc_id")
     return rows.where(F.size("kinds") > 0).select("doc_id").union(worded).distinct()
 
 
 def restore(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kinds, restored_text, restored) of the damaged documents; restored: nothing damaged is left."""
     rows = cut(analyse(df, doc_id, text))
-    seen = rows.select("doc_id", F.explode("words").alias("word"))
-    per_doc = seen.join(word_fixes(seen), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "fix")).alias("fixes"), F.collect_set("kind").alias("more"))
+    per_doc = doc_fixes(rows).groupBy("doc_id").agg(F.collect_set(F.struct("word", "fix")).alias("fixes"), F.collect_set("kind").alias("more"))
     hit = rows.join(per_doc, "doc_id", "left").where((F.size("kinds") > 0) | F.col("more").isNotNull())
     hit = hit.join(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
 

@@ -144,3 +144,12 @@ def test_lost_bytes_need_evidence(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.restored_text, r.restored) for r in mojibake.restore(d).collect()}
     assert got == {10: ("Birkestrom � a friend", False), 11: ("��� �����", False), 12: ("слово", True), 13: ("слово", True), 14: ("été l����������e", False)}
+
+
+def test_lattice_with_lost_bytes_and_rare_words(spark):
+    rare = "сосед услышал поздний звонок"
+    texts = [rare, rare, garble(rare + " Петров", "cp1251", "cp1252"), "Ã�lvarez", "Größe"] + ["Ñ�лово", "слово", "GrÃ¶�Ÿe", "naïve café", "Álvarez"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.restored_text, r.restored) for r in mojibake.restore(d).collect()}
+    assert got == {2: (rare + " Петров", True), 3: ("Álvarez", True), 5: ("слово", True), 7: ("Größe", True)}
+    assert {r.doc_id for r in mojibake.find(d).collect()} == set(got)
