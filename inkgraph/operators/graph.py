@@ -85,18 +85,26 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return deg.crossJoin(F.broadcast(n)).select("id", F.when(F.col("n") > 1, F.col("deg") / (F.col("n") - 1)).otherwise(0.0).alias("score"))
 
 
-def eigenvector(edges: DataFrame, iterations: int = 30, every: int = 4) -> DataFrame:
-    """(id, score): eigenvector centrality over in-edges by power iteration, scaled to a greatest score of 1."""
+def eigenvector(edges: DataFrame, iterations: int | None = None, tol: float = 1e-6, most: int = 1000) -> DataFrame:
+    """(id, score): eigenvector centrality over in-edges by power iteration, scaled to a greatest score of 1.
+
+    A fixed number of ``iterations``, or until a round's L1 change is below ``tol`` of the sum of scores: few nodes of a
+    large graph have a score, so a change per node would stop too early.  Each round reads the last one twice, so
+    every round is written.
+    """
     adj = written(adjacency(edges))
     ids = written(adj.select(F.col("src").alias("id")).union(adj.select(F.col("dst").alias("id"))).distinct())
     ranks = ids.withColumn("score", F.lit(1.0))
-    for i in range(iterations):
+    for _ in range(iterations or most):
         got = adj.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
-        new = ids.join(got, "id", "left").join(ranks, "id").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
-        top = new.agg(F.max("score").alias("top"))
-        ranks = new.crossJoin(F.broadcast(top)).select("id", (F.col("score") / F.col("top")).alias("score"))  # one row
-        if (i + 1) % every == 0:
-            ranks = written(ranks)
+        new = ranks.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "old", (F.col("old") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        new = written(new)
+        top = new.agg(F.max("score")).first()[0]
+        if top is None:
+            break
+        ranks = new.select("id", (F.col("score") / top).alias("score"))
+        if iterations is None and new.agg(F.sum(F.abs(F.col("score") / top - F.col("old"))) < tol * F.sum("score") / top).first()[0]:
+            break
     return ranks
 
 

@@ -619,4 +619,4 @@ def n9(spark, sf):
 
 @query("l2_eigenvector")
 def l2e(spark, sf):
-    return graph.eigenvector(table(spark, sf, "graph_edges"), iterations=8)
+    return graph.eigenvector(table(spark, sf, "graph_edges"))

@@ -243,3 +243,12 @@ def test_fallback_chain(spark):
     assert name == "pagerank" and scores.count() == 3
     top = {r.id: r.score for r in graph.eigenvector(e).collect()}
     assert top["a"] == max(top.values()) == 1.0
+
+
+def test_eigenvector_settles(spark):
+    ends = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d")]
+    e = spark.createDataFrame([(i, *x) for i, x in enumerate(ends)], "edge_id int, source_id string, target_id string")
+    got = {r.id: r.score for r in graph.eigenvector(e).collect()}
+    into = {k: sum(got[s] for s, t in ends if t == k) for k in got}
+    ratio = into["c"] / got["c"]
+    assert all(abs(into[k] - ratio * got[k]) < 1e-4 for k in got) and graph.eigenvector(e.limit(0)).count() == 0
