@@ -149,34 +149,65 @@ def _near(a: str, b: str) -> float:
     return float(d) if d <= most else 9.0
 
 
+def matching(costs: list[list[float]], most: float = 3.0) -> dict[int, int]:
+    """Row -> column: as many rows as fit at up to ``most``, at the least sum, by shortest augmenting paths."""
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
+    cols = range(len(costs[0]) if costs else 0)
+    for _ in costs:
+        far = {r: 0.0 for r in range(len(costs)) if r not in col_of}
+        reach: dict[int, tuple[float, int]] = {}
+        changed = True
+        while changed:
+            changed = False
+            for r, d in list(far.items()):
+                for c in cols:
+                    if costs[r][c] > most or col_of.get(r) == c:
+                        continue
+                    x = d + costs[r][c]
+                    if c not in reach or x < reach[c][0] - 1e-9:
+                        reach[c] = (x, r)
+                        changed = True
+                        if (o := row_of.get(c)) is not None:
+                            far[o] = x - costs[o][c]
+        free = [(x, c) for c, (x, _) in reach.items() if c not in row_of]
+        if not free:
+            break
+        c: int | None = min(free)[1]
+        while c is not None:
+            r = reach[c][1]
+            row_of[c], col_of[r], c = r, c, col_of.get(r)
+    return col_of
+
+
 def assign(labels: list[str], roster: list[str]) -> dict[str, tuple[str | None, float]]:
     """Labels to listed persons at least total cost: label -> (line or None, distance).
 
-    Labels that fit one person best are settled; among labels that fit several equally well, distinct ones of one form
-    go to distinct persons (an optimal assignment over the open persons).
+    Among the labels of one form, spellings that fold to the same text are one voice and distinct voices go to distinct
+    persons, as many of them as fit and at the least sum of distances.  A person more than one edit further off than the
+    best is no choice: a misspelt name beside the right one is not another voice.  A voice for which no person is left is
+    a variant of a label that has one, and gets the person that it fits best.
     """
     out: dict[str, tuple[str | None, float]] = {}
-    open_: dict[str, list[tuple[str, list[str], float]]] = {}
+    voices: dict[str, dict[str, list[str]]] = {}
     for label in labels:
         if STRANGER.search(label):
             out[label] = (None, 9.0)
-            continue
-        costs = sorted((distance(label, line), i, line) for i, line in enumerate(roster))
-        if not costs or costs[0][0] > 3:
-            out[label] = (None, 9.0)
-            continue
-        ties = [line for d, _, line in costs if d == costs[0][0]]
-        if len(ties) == 1:
-            out[label] = (ties[0], costs[0][0])
         else:
-            open_.setdefault(kind_of(label)[0], []).append((label, ties, costs[0][0]))
-    for kind, rows in open_.items():
-        taken = {line for label, (line, _) in out.items() if line and kind_of(label)[0] == kind}
-        rows.sort(key=lambda r: (len(r[1]), r[0]))
-        for label, ties, d in rows:
-            free = [line for line in ties if line not in taken] or ties
-            out[label] = (free[0], d)
-            taken.add(free[0])
+            kind, text = kind_of(label)
+            voices.setdefault(kind, {}).setdefault(text, []).append(label)
+    for same in voices.values():
+        fits = {}
+        for text in sorted(same):
+            costs = [distance(same[text][0], line) for line in roster]
+            if min(costs, default=9.0) <= 3:
+                fits[text] = costs
+            else:
+                out |= {label: (None, 9.0) for label in same[text]}
+        given = matching([[d if d <= min(costs) + 1 else 9.0 for d in costs] for costs in fits.values()])
+        for n, (text, costs) in enumerate(fits.items()):
+            i = given.get(n, costs.index(min(costs)))
+            out |= {label: (roster[i], costs[i]) for label in same[text]}
     return out
 
 

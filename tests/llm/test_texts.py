@@ -153,3 +153,12 @@ def test_lattice_with_lost_bytes_and_rare_words(spark):
     got = {r.doc_id: (r.restored_text, r.restored) for r in mojibake.restore(d).collect()}
     assert got == {2: (rare + " Петров", True), 3: ("Álvarez", True), 5: ("слово", True), 7: ("Größe", True)}
     assert {r.doc_id for r in mojibake.find(d).collect()} == set(got)
+
+
+def test_labels_are_assigned_at_least_cost():
+    assert turns.matching([[0, 0, 9], [9, 0, 0], [0, 0, 9]]) == {0: 0, 1: 2, 2: 1}
+    assert turns.matching([[0, 1], [0, 3]]) == {0: 1, 1: 0} and turns.matching([]) == {}
+    roster = ["Ann Marlow", "Tom Marlov", "Sue Marlop"]
+    got = turns.assign(["Marlow", "Marlou", "Marlon"], roster)
+    assert {line for line, _ in got.values()} == set(roster) and got["Marlow"] == (roster[0], 0.0)
+    assert {line for line, _ in turns.assign(["Marlow", "Marloww"], ["Ann Marlow", "Tom Marrw"]).values()} == {"Ann Marlow"}
