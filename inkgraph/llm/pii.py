@@ -490,22 +490,48 @@ def find(texts: DataFrame) -> DataFrame:
 
         return texts.mapInPandas(run, schema)
 
-    # a lexicon too large to broadcast: each text gets the known ones among its own words by a join
+    # a lexicon too large to broadcast: each text gets by a join the known ones among all that a finder may ask for
     @F.pandas_udf("array<string>")
     def candidates(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sorted({w for k, *ws in count_places([t]) if k != "h" for w in ws if w}))
+        return text.map(asked)
 
-    each = texts.select("src", "row_id", F.explode(candidates("text")).alias("word")).distinct()
-    mine = each.join(words.distinct(), "word").groupBy("src", "row_id").agg(F.collect_set("word").alias("mine"))
+    each = texts.select("src", "row_id", F.explode(candidates("text")).alias("key")).distinct()
+    # names of uncased scripts stand anywhere in a text and meet it by their beginnings
+    held = words.distinct().withColumn("key", F.when(F.col("word").rlike(UNCASED.pattern), F.concat(F.lit("\t"), F.substring("word", 1, 4))).otherwise(F.col("word")))
+    mine = each.join(held, "key").groupBy("src", "row_id").agg(F.collect_set("word").alias("mine"))
 
     def run_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            have = [set() if x is None else set(x) for x in pdf["mine"]]
-            yield rows(pdf, lambda i, own, have=have: Finder(have[i] | own))
+            out = []
+            for i in range(len(pdf)):
+                have = set() if pdf["mine"].iloc[i] is None else set(pdf["mine"].iloc[i])
+                base = Finder(have)
+
+                def finder_of(_: int, own: set[str], base=base) -> Finder:
+                    base.known = _Union(base.known, own)  # as in the shared path, own words are no part of ``full``
+                    return base
+
+                out.append(rows(pdf.iloc[i : i + 1], finder_of, have))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return texts.join(mine, ["src", "row_id"], "left").select("src", "row_id", "text", "listed", "mine").mapInPandas(run_own, schema)
 
 
+def asked(text: str) -> list[str]:
+    """Every word that a finder may look up in the lexicon for a text; beginnings of names of uncased scripts after a tab."""
+    out = set()
+    for raw in TOKEN.findall(text):
+        k = key_of(raw)
+        out |= {k, k.replace("-", ""), *re.split(r"[-']", k)}
+        if not raw.isascii():
+            out.add(key_of(raw.encode("cp1250", "ignore").decode("cp1252", "ignore")))
+    if UNCASED.search(text):
+        flat = re.sub(r"\s", " ", text)
+        out |= {"\t" + flat[i : i + n] for i in range(len(flat)) for n in (1, 2, 3, 4)}
+    return sorted(out - {""})
+
+
 class _Union:
     """Two sets read as one."""
 

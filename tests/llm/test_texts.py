@@ -162,3 +162,16 @@ def test_labels_are_assigned_at_least_cost():
     got = turns.assign(["Marlow", "Marlou", "Marlon"], roster)
     assert {line for line, _ in got.values()} == set(roster) and got["Marlow"] == (roster[0], 0.0)
     assert {line for line, _ in turns.assign(["Marlow", "Marloww"], ["Ann Marlow", "Tom Marrw"]).values()} == {"Ann Marlow"}
+
+
+def test_pii_large_lexicon_asks_for_every_word():
+    got = pii.asked("TOM VELMAR saw Ann-Marie Vel-mar. ธารเวล มณีกร")
+    assert {"velmar", "ann", "marie", "annmarie", "ann-marie", "\tธารเ"} <= set(got)
+
+
+def test_pii_large_lexicon_capitals_and_hyphens(spark, monkeypatch):
+    texts = [PII] * 3 + ["STATEMENT OF VELMAR\n\nVELMAR spoke. Velmar-Redfern and Vel-mar left."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string").selectExpr("'d' as src", "row_id", "text", "cast(null as string) as listed")
+    a = {tuple(r) for r in pii.find(docs).collect()}
+    monkeypatch.setattr(pii, "MAX_LEXICON", 0)
+    assert any(r[1] == 3 for r in a) and {tuple(r) for r in pii.find(docs).collect()} == a
