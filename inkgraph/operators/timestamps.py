@@ -5,29 +5,36 @@ zone (an offset, an abbreviation, a zone name, or nothing: then its agency's zon
 out as intervals of *local* time and exploded by year; parsed local times are joined as of those intervals on (zone,
 year).  Two matching intervals mean that the time exists twice, none that it never existed, one gives the offset.
 
-Scale.  One scan, no shuffle, the parsed values cut into a checkpoint: the interval table has one row per (zone in use, year) with its few intervals in an
-array; zones in use are IANA names, so the table is bounded (``MAX_ZONES`` x years) and that bound is checked before it
-is broadcast.  No Python touches the rows.
+Scale.  One scan, no shuffle, the parsed values cut into a checkpoint.  The (zone, year) pairs in use are taken from it by a
+map-side combined ``distinct``; the intervals of each pair are worked out where the pair is, so nothing is collected and any
+number of zone names, junk ones too, may occur.  Only names of the zone database get a row, so the table has at most as many
+rows as zones x 2,000 years; it is counted, and broadcast up to ``BROADCAST_ROWS`` rows, else joined by shuffle with the same
+result.  No Python touches the values themselves.
 
 Edge cases: null, blank and junk values, impossible dates (13th month, 30 February) and clocks (25:00, 13:05 pm), unknown
 zone names and values without any zone give ``instant`` null with ``status`` ``unparsed`` / ``no_zone``; local times that
 exist twice or never give ``ambiguous`` / ``nonexistent``.  Dates without a clock are not shifted and keep their
-precision.  Fractions are cut off, not rounded.  Repeated rows are repeated in the result.
+precision.  Fractions are cut off, not rounded.  Repeated rows are repeated in the result.  Years from 1000 to 2999 are
+resolved, by the zone's rules of that year (local mean time before its first rule, its last rule after the last change);
+other years are ``unparsed``.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.session import cut
+from inkgraph.session import cut, ship
 
-MAX_ZONES = 700
-YEARS = (1900, 2100)
+#: Rows of the interval table (about 100 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 #: Offsets in minutes of zone abbreviations in general use (fixed values).
 ABBREVIATIONS = {
@@ -62,37 +69,47 @@ def _month(name: Column) -> Column:
     return F.coalesce(*[F.when(F.length(low).between(3, len(m)) & F.lit(m).startswith(low) | (low == "sept" if m == "september" else F.lit(False)), F.lit(i)) for i, m in enumerate(MONTHS, 1)])
 
 
-def zone_intervals(zones: list[str], years: tuple[int, int] = YEARS) -> list[tuple[str, int, list[tuple[datetime, datetime, int]]]]:
-    """(zone, local year, intervals of local time with their offset in seconds) of IANA zones.
+@lru_cache(maxsize=4096)
+def year_intervals(name: str, year: int) -> tuple[tuple[datetime, datetime, int], ...]:
+    """Intervals of local time that touch a local year of an IANA zone, with their offset in seconds.
 
     Offsets are probed every six days and each change is bisected to the second.
     """
-    rows = []
-    step = timedelta(days=6)
-    for name in sorted(set(zones)):
-        zone = ZoneInfo(name)
-
-        def offset(utc: datetime, zone: ZoneInfo = zone) -> int:
-            return int(utc.replace(tzinfo=timezone.utc).astimezone(zone).utcoffset().total_seconds())
-
-        first, last = datetime(years[0] - 1, 12, 1), datetime(years[1] + 1, 2, 1)
-        changes, at, now = [], first, offset(first)
-        spans: list[tuple[datetime, int]] = [(first, now)]
-        while at < last:
-            nxt = at + step
-            if (then := offset(nxt)) != now:
-                seconds = range(int(step.total_seconds()) + 1)
-                k = bisect.bisect_left(seconds, True, key=lambda s, at=at, now=now: offset(at + timedelta(seconds=s)) != now)
-                changes.append(at + timedelta(seconds=k))
-                spans.append((changes[-1], then))
-                now = then
-            at = nxt
-        ends = [s for s, _ in spans[1:]] + [last]
-        local = [(s + timedelta(seconds=o), e + timedelta(seconds=o), o) for (s, o), e in zip(spans, ends, strict=True)]
-        for year in range(years[0], years[1] + 1):
-            lo, hi = datetime(year, 1, 1), datetime(year + 1, 1, 1)
-            rows.append((name, year, [x for x in local if x[0] < hi and x[1] > lo]))
-    return rows
+    zone, step = ZoneInfo(name), timedelta(days=6)
+
+    def offset(utc: datetime) -> int:
+        return int(utc.replace(tzinfo=timezone.utc).astimezone(zone).utcoffset().total_seconds())
+
+    at, last = datetime(year, 1, 1) - timedelta(days=31), datetime(year, 12, 31) + timedelta(days=32)
+    spans = [(at, offset(at))]
+    while at < last:
+        if (then := offset(at + step)) != spans[-1][1]:
+            k = bisect.bisect_left(range(int(step.total_seconds()) + 1), True, key=lambda s, at=at, now=spans[-1][1]: offset(at + timedelta(seconds=s)) != now)
+            spans.append((at + timedelta(seconds=k), then))
+        at += step
+    ends = [s for s, _ in spans[1:]] + [last]
+    lo, hi = datetime(year, 1, 1), datetime(year, 12, 31) + timedelta(days=1)
+    local = ((s + timedelta(seconds=o), e + timedelta(seconds=o), o) for (s, o), e in zip(spans, ends, strict=True))
+    return tuple(x for x in local if x[0] < hi and x[1] > lo)
+
+
+def zone_intervals(zones: list[str], years: tuple[int, int]) -> list[tuple[str, int, list[tuple[datetime, datetime, int]]]]:
+    """(zone, local year, its intervals) of the zones among ``zones`` that the zone database has."""
+    return [(z, y, list(year_intervals(z, y))) for z in sorted(set(zones) & available_timezones()) for y in range(years[0], years[1] + 1)]
+
+
+def interval_table(used: DataFrame) -> DataFrame:
+    """(_zone, _year, lo, hi, off): the intervals exploded for the pairs (_zone, _year) in use; unknown zones have none."""
+    ship(used.sparkSession)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = available_timezones()
+        for pdf in batches:
+            out = [(z, y, *x) for z, y in zip(pdf["_zone"], pdf["_year"], strict=True) if z in known for x in year_intervals(z, int(y))]
+            yield pd.DataFrame([(z, y, lo.isoformat(), hi.isoformat(), off) for z, y, lo, hi, off in out], columns=["_zone", "_year", "lo", "hi", "off"])
+
+    made = used.where("_zone is not null and _year is not null").select("_zone", "_year").distinct().mapInPandas(rows, "_zone string, _year int, lo string, hi string, off int")
+    return made.select("_zone", "_year", F.col("lo").cast("timestamp_ntz").alias("lo"), F.col("hi").cast("timestamp_ntz").alias("hi"), "off")
 
 
 def parse(df: DataFrame, text: str, date_order: str, day: str | None = None) -> DataFrame:
@@ -176,19 +193,14 @@ def normalize(values: DataFrame, text: str, zone: str, date_order: str, day: str
     ``zone``: the column with the IANA zone for values that name none; ``day``: see :func:`parse`.
     """
     keep = values.columns
-    spark = values.sparkSession
+    # a date alone and a value with an offset of its own need no zone
+    own = F.when((F.col("_p") == "s") & F.col("_off").isNull() & F.col("_local").isNotNull(), F.coalesce(F.col("_named"), F.col(zone)))
     # Cut here: carried on into the join, the layers of the parse cost the optimizer seconds and the driver its heap.
     parsed = cut(parse(values, text, date_order, day).select(*keep, "_p", "_local", "_off", "_named", "_epoch", "_y", "_mo"))
-    known = available_timezones()
-    inline = F.regexp_extract(F.col(text), r"\[([A-Za-z]+(?:/[A-Za-z_+-]+)+)\]\s*$", 1)
-    used = values.where(F.col(text).contains("[")).select(inline.alias("z")).union(values.select(F.col(zone).alias("z"))).distinct().limit(100 * MAX_ZONES).collect()
-    zones = sorted({r.z for r in used} & known)
-    if len(zones) > MAX_ZONES:
-        raise ValueError("more zones than there are")
-    spans = spark.createDataFrame(zone_intervals(zones), "_zone string, _year int, _spans array<struct<lo:timestamp_ntz,hi:timestamp_ntz,off:int>>")
-    # a date alone and a value with an offset of its own need no zone
-    own = F.when((F.col("_p") == "s") & F.col("_off").isNull(), F.coalesce(F.col("_named"), F.col(zone)))
-    joined = parsed.withColumns({"_zone": own, "_year": F.year("_local")}).join(F.broadcast(spans), ["_zone", "_year"], "left")
+    parsed = parsed.withColumn("_zone", own).withColumn("_year", F.when(F.col("_zone").isNotNull(), F.year("_local")))
+    spans = interval_table(parsed).groupBy("_zone", "_year").agg(F.collect_list(F.struct("lo", "hi", "off")).alias("_spans"))  # a few intervals a year
+    spans = cut(spans)
+    joined = parsed.join(F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans, ["_zone", "_year"], "left")
     hits = F.filter("_spans", lambda s: (s["lo"] <= F.col("_local")) & (F.col("_local") < s["hi"]))
     joined = joined.withColumn("_hits", hits)
     off = F.coalesce(F.col("_off"), F.when(F.size("_hits") == 1, F.col("_hits")[0]["off"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkgraph.functions import text
 from inkgraph.operators import entities, events, graph, parses, payloads, providers, quality, relations, segment, web
+from inkgraph.operators import timestamps
 from inkgraph.operators.ordered import following, position, running
 from inkgraph.operators.timestamps import case_times, normalize, zone_intervals
 from inkgraph.sources import files
@@ -210,6 +211,17 @@ def test_zone_intervals_against_library():
             assert len(hits) == 1 and hits[0] in offs or len(offs) == 2
 
 
+def test_any_year_and_any_number_of_zones(spark, monkeypatch):
+    rows = [(0, "1885-06-01 10:00", "America/New_York", "1885-06-01T15:00:00Z"), (1, "1700-06-01 10:00", "America/New_York", "1700-06-01T14:56:02Z"), (2, "2150-06-01 10:00", "America/New_York", "2150-06-01T14:00:00Z"), (3, "2150-01-01 10:00", "Australia/Sydney", "2149-12-31T23:00:00Z"), (4, "0985-06-01 10:00", "America/New_York", None), (5, "2024-06-01 10:00", None, None)]
+    junk = [(10 + i, "2024-06-01 10:00", f"Junk/Zone{i}", None) for i in range(200)]
+    d = spark.createDataFrame([(i, t, z, "mdy") for i, t, z, _ in rows + junk], "i int, t string, z string, o string")
+    want = {i: w for i, _, _, w in rows + junk}
+    got = {r.i: (r.instant, r.status) for r in normalize(d, "t", "z", "o").collect()}
+    assert {i: x for i, (x, _) in got.items()} == want and all(got[i][1] == "no_zone" for i in (5, 10, 209))
+    monkeypatch.setattr(timestamps, "BROADCAST_ROWS", 0)  # the way of a table too large to broadcast
+    assert {r.i: (r.instant, r.status) for r in normalize(d, "t", "z", "o").collect()} == got
+
+
 def test_case_times_empty(spark):
     ev = spark.createDataFrame([], "id bigint, agency_code string, ts_raw string, time_raw string, case_date date")
     bio = spark.createDataFrame([(1, None, None)], "id bigint, agency_code string, segments array<struct<time_text:string,seg_text:string>>")
