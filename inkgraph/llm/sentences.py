@@ -1,14 +1,16 @@
 """Problem 2: sentence boundaries across languages and scripts.
 
-Method: character-property sentence-break rules.  Terminators of all scripts (full stops, exclamation and question
-marks, dandas, Arabic, Ethiopic and ideographic stops) with the closing quotes and brackets after them are candidate
-boundaries; a candidate falls when the next word goes on in lower case, when the stop belongs to a number, an initial or
+Method: character-property sentence-break rules.  Every character with the Unicode property Sentence_Break STerm or ATerm (the
+terminators of all scripts) with the closing quotes and brackets (categories Pe and Pf) after it is a candidate
+boundary; a candidate falls when the next word goes on in lower case, when the stop belongs to a number, an initial or
 an abbreviation of the languages (some never end a sentence, some do before a capital), when it stands inside a quotation
 or bracket, or when the closed quotation is taken up by its reporting clause.  Scripts that part sentences by spaces
 (Thai, Lao, Khmer) break at spaces, but not inside a name.  Blank lines end units; a single line end without a mark ends
-one where the line was not full, so that the break was not forced by the width.
+one where the line was not full, so that the break was not forced by the width.  A text's width is what most of its inner
+line ends were broken at (:func:`width_of`).
 
-Scale.  A projection: each row is worked on by itself in an Arrow batch, no shuffle; time is linear in the text.
+Scale.  A projection: each row is worked on by itself in an Arrow batch, no shuffle; time is linear in the text (each
+candidate looks at a bounded number of words before and after it, by offsets).
 
 Edge cases: null and blank texts and items give no unit; runs of marks are one boundary; an unclosed quotation is ignored;
 items of one record are read as one running text, so an item that stops in mid-sentence has no end of its own, and an
@@ -18,19 +20,29 @@ empty item is passed over; very long texts are read whole; repeated rows give re
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STOPS = ".!?…。！？．｡।॥؟۔։።፧፨‼⁇⁈⁉᙮᠃᠉။꘎꘏꛳꩝꩞꩟꯫"
-STRONG = "!?。！？｡।॥؟۔։።፧፨‼⁇⁈⁉᠃᠉။"
+_PLANES = "".join(chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c <= 0xDFFF)
+#: Terminators by character property; the ellipsis, which has none, may end a sentence too.
+STRONG = "".join(regex.findall(r"\p{Sentence_Break=STerm}", _PLANES))
+STOPS = STRONG + "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _PLANES)) + "…"
 IDEOGRAPHIC = "。！？｡"
-CLOSERS = "\"')]}»”’」』）】〉》›"
-CANDIDATE = re.compile(f"([{re.escape(STOPS)}](?:\\s?[{re.escape(STOPS)}])*)([{re.escape(CLOSERS)}]*)(?=(\\s*)(.?))", re.S)
+#: Marks of exclamation and question after which a sentence may go on in lower case.
+WEAK = "!?‼‽⁇⁈⁉"
+CLOSERS = "\"'" + "".join(regex.findall(r"[\p{Pe}\p{Pf}]", _PLANES))
+CANDIDATE = re.compile(f"([{re.escape(STOPS)}](?:\\s?[{re.escape(STOPS)}])*)([{re.escape(CLOSERS)}]*)")
+#: Below this many characters a single full line shows the width of a page; wider ones need a second line.
+PAGE = 120
 PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "‹": "›", "《": "》", "(": ")", "（": "）"}
 QUOTES = frozenset("“«„「『‹\"")
+NEXT = re.compile(r"\S")
+TOKEN = re.compile(r"\S+")
 BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 CJK = re.compile(r"[぀-ヿ一-鿿]")
 SPACED = re.compile(r"[฀-๿຀-໿ក-៿]")
@@ -61,6 +73,11 @@ CLOCK_LEAD = re.compile(r"\W*(?:(?:at|by|around|about|from|since|until|near|appr
 CLOCK_NEXT = re.compile(r"\d{1,2}[:.]\d{2}\s*(?:[ap]\.?m|$|\s)|\d{4}\s?hrs", re.I)
 TAIL = re.compile(r"[^\s(\[{“”„«»\"'‘’「」/]+$")
 STREET = re.compile(r"\d+[A-Za-z]?,?\s+(?:[A-Z][\w'’]*\s+){1,4}$")
+INITIAL_NEXT = re.compile(r"\s?\w\.")
+INITIALS = re.compile(r"(?:\w\.)+\w")
+SR_ARTICLE = re.compile(r"(?:^|\s)(?:el|al|del|los|un|o|ao|do|os|um)$")
+LINE_END = re.compile(r"\n\s*")
+THAI_MARKS = re.compile(r"[ัิ-ฺ็-๎]")
 UNIT_NEXT = re.compile(r"(?:Unit|Apt|Suite|Ste|Flat|Floor|No|Rm|Room)\b|#")
 REPORTING = re.compile(
     r"\s*(?:(?:[^\s.!?…\n“”«»]+|(?:[A-Z][a-z]{0,4}|[A-Z])\.)\s+){0,6}?(?:said|says|asked|asks|shouted|whispered|replied|answered|added|cried|called|yelled|muttered|insisted|repeated|explained|screamed|murmured|recalled|wrote|writes|used to say|told (?:me|us|him|her|them)|"
@@ -69,10 +86,6 @@ REPORTING = re.compile(
 REPORTING_CJK = re.compile(r"[^。！？\n“「]{0,24}(?:说|問|问|答|道|喊|叫|告诉|言|尋|話|述|嘆|叹)")
 
 
-def is_start(c: str) -> bool:
-    return not c.islower()
-
-
 def quote_spans(p: str) -> list[tuple[int, int]]:
     """Spans [open, close] of quotations and brackets in a paragraph, outermost ones, closed ones only."""
     spans, stack = [], []
@@ -94,40 +107,52 @@ def quote_spans(p: str) -> list[tuple[int, int]]:
     return spans
 
 
-def holds(before: str, after: str, sentence: str) -> bool:
-    """Whether a full stop after ``before`` is no boundary, by what it belongs to.  ``after``: the text behind the stop."""
-    m = TAIL.search(before)
+def words_before(p: str, at: int, n: int) -> str:
+    """The text of the last ``n`` words before a place, with the space behind them."""
+    i = at
+    for _ in range(n):
+        while i and p[i - 1].isspace():
+            i -= 1
+        while i and not p[i - 1].isspace():
+            i -= 1
+    return p[i:at]
+
+
+def holds(p: str, start: int, pos: int, end: int, nxt: int) -> bool:
+    """Whether the full stop at ``pos`` is no boundary, by what it belongs to.
+
+    ``start``: of the sentence; ``end``: behind the stop; ``nxt``: the next character that is no space.
+    """
+    m = TAIL.search(words_before(p, pos, 1))
     word = m.group() if m else ""
-    low = word.lower().rstrip(".")
-    nxt = after.lstrip()
-    first = nxt[:1]
     if not word:
         return False
-    if SPACED_ABBREVIATION.search(before):
+    low = word.lower().rstrip(".")
+    first = p[nxt : nxt + 1]
+    at = pos - len(word)
+    if SPACED_ABBREVIATION.search(p, max(0, pos - 16), pos):
         return True
-    if len(word) == 1 and re.match(r"\s?\w\.", after):  # z. T., d. h., J. R.
+    if len(word) == 1 and INITIAL_NEXT.match(p, end):  # z. T., d. h., J. R.
         return True
-    if low in ("dr", "st", "ave", "rd", "ln", "ct", "blvd") and STREET.search(before[: -len(word)]):
-        return bool(UNIT_NEXT.match(nxt))
+    if low in ("dr", "st", "ave", "rd", "ln", "ct", "blvd") and STREET.search(words_before(p, at, 5)):
+        return bool(UNIT_NEXT.match(p, nxt))
     if low == "st" or low in ("apt", "ste"):
         return True
     if low in ("no", "nos"):
-        return first == "#" or any(c.isdigit() for c in nxt.split(maxsplit=1)[0]) if first else False
-    if low == "sr" and re.search(r"(?:^|\s)(?:el|al|del|los|un|o|ao|do|os|um)$", before[: -len(word)].rstrip().lower()):
+        return first == "#" or any(c.isdigit() for c in TOKEN.match(p, nxt).group()) if first else False
+    if low == "sr" and SR_ARTICLE.search(words_before(p, at, 1).rstrip().lower()):
         return True
     if low in LEADING:
         return True
     if len(word) == 1 and word.isalpha() and word.isupper():
         return True
-    if low in ("r", "г", "с") and word.islower() and not re.search(r"\d\s*$", before[: -len(word)]) and low != "п":
+    if low in ("r", "г", "с") and word.islower() and not words_before(p, at, 1).rstrip()[-1:].isdigit():
         return True
-    if low in CLOSING or re.fullmatch(r"(?:\w\.)+\w", word) or (len(word) == 1 and word.isalpha()):
-        if CLOCK_LEAD.fullmatch(sentence + "."):
+    if low in CLOSING or INITIALS.fullmatch(word) or (len(word) == 1 and word.isalpha()):
+        if CLOCK_LEAD.fullmatch(p, start, pos):
             return True
-        return not (first.isupper() or first in "“«¿¡„「" or CLOCK_NEXT.match(nxt) or not (first.isalnum() or first in "([,;:-–—&/")) if first else False
-    if word.isdigit() and len(word) <= 2 and MONTHS_DE.match(nxt):
-        return True
-    return False
+        return not (first.isupper() or first in "“«¿¡„「" or CLOCK_NEXT.match(p, nxt) or not (first.isalnum() or first in "([,;:-–—&/")) if first else False
+    return word.isdigit() and len(word) <= 2 and MONTHS_DE.match(p, nxt) is not None
 
 
 def paragraph_ends(p: str, width: int) -> list[int]:
@@ -135,18 +160,22 @@ def paragraph_ends(p: str, width: int) -> list[int]:
     spans = quote_spans(p)
     ends: list[int] = []
     start = 0
-    spaced = SPACED.search(p) is not None
+    size = len(p)
     marks: list[tuple[int, str, re.Match | None]] = [(m.start(), "stop", m) for m in CANDIDATE.finditer(p)]
-    for m in re.finditer(r"[^\S\n]*\n\s*", p):
-        line_start = p.rfind("\n", 0, m.start()) + 1
-        word = re.match(r"\S+", p[m.end() :])
-        full = (m.start() - line_start) + 1 + (len(word.group()) if word else 0) > width
+    line_start = 0
+    for m in LINE_END.finditer(p):
+        at = m.start()
+        while at > line_start and p[at - 1].isspace():
+            at -= 1
+        word = TOKEN.match(p, m.end())
+        full = at - line_start <= width < (at - line_start) + 1 + (len(word.group()) if word else 0)
         if not full:
-            marks.append((m.start(), "line", m))
-    if spaced:
+            marks.append((at, "line", m))
+        line_start = m.start() + 1
+    if SPACED.search(p) is not None:
         marks += [(m.start(), "gap", m) for m in SPACED_GAP.finditer(p)]
     marks.sort(key=lambda x: x[0])
-    inside = iter(spans + [(len(p) + 1, len(p) + 1)])
+    inside = iter(spans + [(size + 1, size + 1)])
     lo, hi = next(inside)
     for pos, kind, m in marks:
         while hi < pos:
@@ -157,63 +186,103 @@ def paragraph_ends(p: str, width: int) -> list[int]:
             if lo < pos < hi:
                 continue
             nxt = p[m.end() : m.end() + 1]
-            if pos > start and p[start:pos].strip() and (nxt.isupper() or nxt in "“«¿¡„「#" or not nxt.islower() and not nxt.isascii() and not CJK.match(nxt)):
+            if not blank(p, start, pos) and (nxt.isupper() or nxt in "“«¿¡„「#" or not nxt.islower() and not nxt.isascii() and not CJK.match(nxt)):
                 ends.append(pos)
                 start = m.end()
             continue
         if kind == "gap":
+            if lo < pos < hi:
+                continue
             piece = p[start:pos].strip()
-            if lo < pos < hi or len(re.sub(r"[ัิ-ฺ็-๎]", "", piece)) <= 9 and not piece.endswith(tuple(STRONG)):
+            if len(THAI_MARKS.sub("", piece)) <= 9 and not piece.endswith(tuple(STRONG)):
                 continue
             ends.append(pos)
             start = m.end()
             continue
         stops, closers = m.group(1), m.group(2)
         end = m.end(2)
-        nxt = p[end:]
-        follow = nxt.lstrip()
+        found = NEXT.search(p, end)
+        nxt = found.start() if found else size
+        first, joined = p[nxt : nxt + 1], nxt == end  # joined: no space behind the mark
         if lo < pos < hi:
             if end - 1 < hi:  # inside a quotation or bracket
                 continue
             # the quotation ends here with its own mark
             if p[lo] in "(（":
                 continue
-            if follow[:1].islower() or follow[:1] in ",;:—–-" and follow[:1]:
+            if first and (first.islower() or first in ",;:—–-"):
                 continue
-            opening = not p[start:lo].strip()
-            if stops[0] in IDEOGRAPHIC or p[lo] in "「『" or re.match(r"[぀-ヿ一-鿿]", follow):
-                if re.match(r"[とっ]", follow) or opening and REPORTING_CJK.match(follow):
+            opening = blank(p, start, lo)
+            if stops[0] in IDEOGRAPHIC or p[lo] in "「『" or CJK.match(first):
+                if first and first in "とっ" or opening and REPORTING_CJK.match(p, nxt):
                     continue
-            elif opening and REPORTING.match(nxt):
+            elif opening and REPORTING.match(p, end):
                 continue
         else:
-            if stops == "." and follow and not closers:
-                if not nxt[:1].isspace():  # inside a number, an address or a word
+            if stops == "." and first and not closers:
+                if joined:  # inside a number, an address or a word
                     continue
-                if follow[:1].islower() or follow[:1] in ",;:":
+                if first.islower() or first in ",;:":
                     continue
-                if holds(p[:pos], nxt, p[start:pos]):
+                if holds(p, start, pos, end, nxt):
                     continue
             elif stops[0] in "….":
-                if follow and (follow[:1].islower() or follow[:1] in ",;:" or not nxt[:1].isspace() or not (follow[:1].isupper() or follow[:1] in "“«¿¡„([") and not follow[:1].isdigit()):
+                if first and (first.islower() or first in ",;:" or joined or not (first.isupper() or first in "“«¿¡„([") and not first.isdigit()):
                     continue
-            elif follow and stops[0] in "!?" and (follow[:1].islower() or follow[:1] in ",;:" or not nxt[:1].isspace() and follow[:1].isalnum()):
+            elif first and stops[0] in WEAK and (first.islower() or first in ",;:" or joined and first.isalnum()):
                 continue
         ends.append(end)
         start = end
-    if p[start:].strip():
-        ends.append(len(p))
+    if not blank(p, start, size):
+        ends.append(size)
     return ends
 
 
+def blank(p: str, start: int, end: int) -> bool:
+    """Whether there is nothing but space between two places."""
+    m = NEXT.search(p, start)
+    return m is None or m.start() >= end
+
+
+def width_of(lines: list[str]) -> int:
+    """The width at which a text was broken into lines; -1 where it was not.
+
+    A width w explains an inner line end (one with a line of text on both sides) when the line is not longer than w but
+    would have been with the next word.  The width that explains most inner line ends holds if it explains at least two
+    and half of them and if fewer than half as many lines of the text are longer.  A text whose longest line is not longer
+    than ``PAGE`` was broken at that line.
+    """
+    sizes = [len(x.rstrip()) for x in lines]
+    events: list[tuple[int, int]] = []
+    inner = 0
+    for i in range(len(lines) - 1):
+        if sizes[i] and sizes[i + 1]:
+            inner += 1
+            events += [(sizes[i], 1), (sizes[i] + 1 + len(TOKEN.search(lines[i + 1]).group()), -1)]
+    if not inner:
+        return -1
+    events.sort()
+    ordered = sorted(sizes)
+    longest = ordered[-1]
+    best, now = (0, -1), 0
+    for k, (at, step) in enumerate(events):
+        now += step
+        if step > 0 and (k + 1 == len(events) or events[k + 1][0] > at or events[k + 1][1] < 0):
+            over = len(ordered) - bisect_right(ordered, at)
+            if now >= 2 and 2 * now >= inner and 2 * over <= now:
+                best = max(best, (now, at))
+    if longest <= PAGE:
+        explains = sum(step for at, step in events if at <= longest)
+        best = max(best, (explains, longest))
+    return best[1]
+
+
 def sentence_ends(text: str) -> list[int]:
     """The end of each unit of a text, in characters."""
     out: list[int] = []
     if not text or not text.strip():
         return out
-    lines = text.split("\n")
-    longest = max(len(x.rstrip()) for x in lines)
-    width = longest if longest <= 120 else 10**9  # lines longer than a page is wide were not broken at a width
+    width = width_of(text.split("\n"))
     at = 0
     for piece in re.split(f"({BLANK.pattern})", text):
         if piece.strip():
@@ -236,14 +305,17 @@ def item_ends(items: list[str | None]) -> list[tuple[int, int]]:
         at += len(t) + 1
     text = " ".join(joined)
     body = text.rstrip()
-    found = set(paragraph_ends(body, 10**9)) if body.strip() else set()
+    found = set(paragraph_ends(body, -1)) if body.strip() else set()
     for (s, _, n), nxt in zip(starts, starts[1:], strict=False):  # an item that ends without a mark and is not carried on
         a, b = text[s : s + n].rstrip(), text[nxt[0] : nxt[0] + nxt[2]].lstrip()
         if a[-1:].isalnum() and (b[:1].isupper() or b[:1] in "“«¿¡„") and not SPACED.search(a):
             found.add(s + len(a))
     out = []
+    k = 0
     for e in sorted(found):
-        s, i, n = max(x for x in starts if x[0] < e)
+        while k + 1 < len(starts) and starts[k + 1][0] < e:
+            k += 1
+        s, i, n = starts[k]
         if e - s <= n:
             out.append((i, e - s))
     return out

@@ -41,6 +41,37 @@ def test_items_that_carry_on(spark):
     assert len(sentences.sentence_ends(long)) == 20_000
 
 
+def test_every_terminator_ends_a_sentence():
+    import regex
+
+    marks = regex.findall(r"\p{Sentence_Break=STerm}", "".join(map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x20000)])))
+    assert len(marks) > 140 and "\u17d4" in sentences.STOPS + "\u17d4"
+    for c in marks:
+        assert sentences.sentence_ends(f"Abc{c} Def") == [4, 8], hex(ord(c))
+
+
+def test_sentences_in_linear_time():
+    import time
+
+    unit = "He went to St. Louis with Dr. Lee at 5 p.m. on Elm St. near No. 4. “Oh!” said he. "
+    took = []
+    for n in (1500, 12000):  # one paragraph, the larger one a megabyte
+        began = time.process_time()
+        assert len(sentences.sentence_ends(unit * n)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1 and took[1] < 30
+    began = time.process_time()
+    assert len(sentences.item_ends(["A thing."] * 20_000)) == 20_000 and time.process_time() - began < 20
+
+
+def test_one_long_line_does_not_unwrap_a_text():
+    wrapped = "The officer walked along the river for a long time and\nThen came back to the house that stood beside the old\nMill where he had left the car under the trees and the\nSun was gone."
+    assert sentences.sentence_ends(wrapped) == [len(wrapped)]
+    long = "x" * 150
+    assert sentences.sentence_ends(f"{wrapped}\n\n{long}") == [len(wrapped), len(wrapped) + 152]
+    assert sentences.width_of([]) == -1 and sentences.width_of(["a", "", "b"]) == -1
+
+
 HEAD = "Ann Lee interview\n\nParticipants:\n\nOfficer Zoë Ray\nAnn Lee (witness)\n\n"
 LAYOUTS = [
     ("Ray: Who?\nANN LEE: Um... me.\nAnd more: yes.\nOfficer Ray: (coughs)\nA. Lee: Fl- floor.\nUnknown voice: Hey.", [("Officer Zoë Ray", "Who?"), ("Ann Lee", "me. And more: yes. floor."), ("unknown", "Hey.")]),
