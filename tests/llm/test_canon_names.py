@@ -42,7 +42,7 @@ def test_near_strings_against_brute_force():
 def test_aliases_from_glosses_and_senses():
     assert canon.gloss_phrase("a person lives at a place") == "lives at" and canon.gloss_phrase("an entity took part in an event") == "took part in" and canon.gloss_phrase(None) == ""
     m = canon.CanonMatcher([(1, "WORKER_OF", "a person works for an organisation"), (2, "SPOKE", None)])
-    assert m("on the payroll of") == m("Hired-By") == m("works 4for") == 1 and m("spoke") == 2 and m("employs") == 0
+    assert m("on the payroll of") == m("Hired-By") == m("works 4for") == 1 and m("spoke") == 2 and m("sells") == 0
     assert m.solve("worker of") == (1, "mention") and m.solve("of wroker") == (1, "token set") and m.solve("zzz") == (0, "none")
 
 
