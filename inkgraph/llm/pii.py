@@ -1,28 +1,33 @@
 """Problem 6: personal information inside free text.
 
-Method: anchor expansion.  An Aho-Corasick automaton finds the anchors (at-signs and their spelled-out forms, identifier
-cues, street kinds); deterministic local parsers expand each anchor to its bounds and validate it: an address part needs
-both a local part and a dotted domain, a telephone number its groups, an identity number its shape and no evidence
-cue before it, a street address its house number and street in the order of the language.  Names are anchored by a
-lexicon that the corpus itself gives: words that follow titles and ranks, and words that stand with those as first name
-and surname, judged by the share of their occurrences in such places; the local parser adds initials, suffixes and
-parts broken by a line end, and leaves titles and possessives out.
+Method: anchor expansion.  One Aho-Corasick automaton finds the anchors with their places: at-signs and their spelled-out
+forms, dialling signs, groups of digits, identifier cues (licence, passport, number ...) and street kinds.  Deterministic
+local parsers start at each anchor, expand it to its bounds within a window of whole words and validate it: an address part
+needs both a local part and a dotted domain, a telephone number its groups, an identity number its shape, no evidence cue
+before it and, where it is bare digits, an identifier cue shortly before; a street address its house number and street in
+the order of the language.  Names are anchored by a lexicon that the corpus itself gives: words that follow titles and
+ranks, and words that stand with those as first name and surname, judged by the share of their occurrences in such places;
+the local parser adds initials, suffixes and parts broken by a line end, and leaves titles and possessives out.
 
 Scale.  Two Python passes over Arrow batches without a shuffle of text.  The first counts words in name places per batch,
 so that only counts of distinct words are shuffled (map-side combined).  The lexicon is broadcast only while it is below
-``MAX_LEXICON`` words, which is counted first; beyond that each document gets its own part of it by a join on its distinct
-words.  Documents are rows of their own, so hot sources or cases make no hot task.
+``MAX_LEXICON`` words, which is counted first; beyond that each document gets, by a join on all words that its parser may
+look up, the ones that the lexicon has, with the same result.  Documents are rows of their own, so hot sources or cases make
+no hot task.  Windows are merged, so time is linear in the text.
 
 Edge cases: null and blank texts give no spans; spans never overlap (an address or e-mail wins over a name inside it);
 each repeat is a span of its own; very long texts are worked on whole; repeated rows give repeated spans under their ids;
-extra columns are ignored; an empty corpus gives an empty lexicon and only the formal kinds are found.
+extra columns are ignored; an empty corpus gives an empty lexicon and only the formal kinds are found.  By definition the
+part of an e-mail address before its at-sign has at most 64 characters, a telephone number 7 to 15 digits, and a street
+address at most six words before and twelve behind its street kind.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -55,7 +60,7 @@ who’s it’s rain humidity tire blood-like its friendly responding supplement
 EMAIL_ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 AT = r"(?:\s?@\s?|\s*[\[(]\s?(?:at|AT)\s?[\])]\s*)"
 DOT = r"(?:\.|\s*[\[(]\s?(?:dot|DOT)\s?[\])]\s*)"
-LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+])?$")
+LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_+])?$")
 DOMAIN = re.compile(rf"{AT}([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*?{DOT}[A-Za-z]{{2,}})(?![\w])")
 
 PHONE = re.compile(
@@ -92,11 +97,13 @@ GARBLED = re.compile(r"Ã[^A-ZÀ-Þ\s]|[�√├┬Γ╨╤]|Â[\x80-\xbf]|â[\
 WIDE = re.compile(r"[ァ-ヺ一-鿿]")
 GERMAN = re.compile(r"\b(?:der|die|das|und|wohnt|nicht|ist)\b")
 EASTERN = re.compile("[\u0144\u0103\u0151\u0155\u0119\u015f\u0154\u0102]")
+NO_HOUSE = re.compile(r"\d{4}\s+(?:hrs|R/)")
+PAGE_BEFORE = re.compile(r"(?:pp?|pages?|nos?)\.?\s*$", re.I)
 AFTER = re.compile(r"\S*")
 AFTER_ONE = re.compile(r"\S*(?:\s(?:[A-Z]\.\s)?[A-Z]\S*)?")
 BEFORE_ONE = re.compile(r"([A-Z]\S*)\s(?:[A-Z]\.\s)?$")
-DIGITS = re.compile(r"\d[\d\s().-]{5,}\d|\d{6,}")
-HAS_DIGIT = re.compile(r"\d{3}|\d ?[,a-z]")
+NUMBER = frozenset("0123456789 \t\n\r\u00a0().+-")
+NUMBER_RUN = re.compile(r"[\d\s().+-]*")
 STREET_BEFORE = re.compile(r"\d+[A-Za-z]?\s+(?:[A-Z][\w’']*\s+){1,4}$")
 JA_NAME = re.compile(r"((?:[ァ-ヺー]{2,}|[一-鿿々]{1,5})(?:[ァ-ヺー一-鿿々]*)(?:[ 　\n](?:[ァ-ヺー一-鿿々]{1,6}))?)(?=さん|様|氏|君|ちゃん)")
 ZH_NAME = re.compile(r"(?:(?:欧阳|司徒|司马|上官|诸葛|闻人|东方|夏侯|尉迟|皇甫|公孙|慕容|令狐|宇文|长孙|端木|南宫|独孤|轩辕|呼延|百里|澹台)[一-鿿]{1,2}|(?<![一-鿿])[王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文][一-鿿]{1,2})(?=说|問|问|答|道|在|于|于是|告诉|认为|表示|来到|回到|离开|住|，|、|先生|女士|的证词|\n)")
@@ -241,8 +248,11 @@ STREET_CUES = {
 }
 
 
+ID_CUES = "license licence id identi passport passeport pasaporte document ausweis pass ssn social dni nie cpf card number nummer numero numéro número".split()
+
+
 def anchors():
-    """The automaton over all anchors; a hit gives the kinds of parser to run."""
+    """The automaton over all anchors; a hit gives (length, kinds of parser to start there)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -250,17 +260,60 @@ def anchors():
     for lang, words in STREET_CUES.items():
         for w in words:
             for tail in " \n" if lang in ("de", "fr", "es") else " \n.,":
-                cues.setdefault(("" if lang == "de" else " ") + w + tail, set()).add(lang)
+                for head in ("",) if lang == "de" else (" ", "\n"):
+                    cues.setdefault(head + w + tail, set()).add(lang)
     for w in ("Am ", "An der ", "Im ", "Auf dem ", "Zum ", "Zur ", "Unter den "):
         cues.setdefault(w, set()).add("de lead")
-    for w in ("@", "[at]", "(at)", "[at\n", "( at", "[ at", "[AT]", "(AT)"):
-        cues.setdefault(w, set()).add("email")
+    cues["@"] = {"email"}
+    for opener in "[(":
+        for gap in ("", " ", "\n"):
+            for at in ("at", "AT", "At"):
+                cues.setdefault(opener + gap + at, set()).add("email")
+    for w in ID_CUES:
+        for form in (w, w.capitalize(), w.upper()):
+            cues.setdefault(form, set()).add("cue")
+    for n in range(1000):  # groups of three digits
+        cues.setdefault(f"{n:03d}", set()).add("number")
+    for n in range(10):  # dialling signs
+        cues.setdefault(f"+{n}", set()).add("number")
     for w, kinds in cues.items():
-        a.add_word(w, frozenset(kinds))
+        a.add_word(w, (len(w), frozenset(kinds)))
     a.make_automaton()
     return a
 
 
+def words_back(text: str, at: int, n: int) -> int:
+    """Where the ``n`` words before a place begin."""
+    width = 120
+    while True:
+        lo = max(0, at - width)
+        parts = text[lo:at].rsplit(None, n)
+        if len(parts) > n or lo == 0:
+            return lo + len(parts[0]) if len(parts) > n else 0
+        width *= 2
+
+
+def words_on(text: str, at: int, n: int) -> int:
+    """Where the ``n`` words from a place on end, at the end of a word."""
+    width = 160
+    while True:
+        hi = min(len(text), at + width)
+        parts = text[at:hi].split(None, n)
+        if len(parts) > n or hi == len(text):
+            return hi - len(parts[n]) if len(parts) > n else len(text)
+        width *= 2
+
+
+def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 class Finder:
     """Finds spans (kind, start, end) in a text.  ``known``: the name lexicon."""
 
@@ -272,74 +325,91 @@ class Finder:
         self.full = re.compile("|".join(r"\s".join(map(re.escape, w.split(" "))) for w in full)) if full else None
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
-        kinds: set[str] = set()
-        for end, k in self.anchors.iter(text):
-            if not k <= kinds and ("de" not in k or len(k) > 1 or text[end + 1 : end + 2].isdigit()):
-                kinds |= k
-        if "de lead" in kinds and GERMAN.search(text):
-            kinds.add("de")
-        spans = self.emails(text) if "email" in kinds else []
-        if HAS_DIGIT.search(text):
-            spans += self.numbers(text, spans, kinds)
+        at: dict[str, list[int]] = {}
+        for end, (n, kinds) in self.anchors.iter(text):
+            for k in kinds:
+                if k != "de" or text[end + 1 : end + 2].isdigit():
+                    at.setdefault(k, []).append(end + 1 - n)
+        spans: list[tuple[str, int, int]] = []
         taken = bytearray(len(text) + 1)
-        for _, s, e in spans:
-            taken[s:e] = b"\x01" * (e - s)
+
+        def add(kind: str, s: int, e: int) -> None:
+            """Takes a span where nothing is taken yet."""
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\x01" * (e - s)
+                spans.append((kind, s, e))
+
+        if "email" in at:
+            self.emails(text, at["email"], add)
+        self.addresses(text, at, add)
+        if "number" in at:
+            self.numbers(text, sorted(at["number"]), sorted(at.get("cue", ())), add)
         spans += self.names(text, taken)
         return sorted(spans, key=lambda x: (x[1], x[2]))
 
-    def emails(self, text: str) -> list[tuple[str, int, int]]:
-        out = []
-        for a in EMAIL_ANCHOR.finditer(text):
-            left = text[: a.start()].rstrip() if a.group() != "@" else text[: a.start()]
-            lm = LOCAL.search(left[-70:])
-            if lm is None or len(text) < a.end():
+    @staticmethod
+    def emails(text: str, places: list[int], add: Callable[[str, int, int], None]) -> None:
+        """Expands at-signs to the local part before and the domain behind them."""
+        for at in sorted(places):
+            a = EMAIL_ANCHOR.match(text, at)
+            if a is None:
                 continue
-            at = len(left)
-            dm = DOMAIN.match(text, at)
-            if dm is None:
+            left = text[max(0, at - 100) : at]
+            if a.group() != "@":
+                left = left.rstrip()
+            lm = LOCAL.search(left)
+            if lm is None:
                 continue
-            start = at - len(left[-70:]) + lm.start()
-            out.append(("email", start, dm.end()))
-        return out
-
-    def numbers(self, text: str, spans: list[tuple[str, int, int]], kinds: set[str]) -> list[tuple[str, int, int]]:
-        out: list[tuple[str, int, int]] = []
-
-        def free(s: int, e: int) -> bool:
-            return all(e <= b or s >= f for _, b, f in spans) and all(e <= b or s >= f for _, b, f in out)
-
-        for lang, pattern in (("en", ADDRESS_EN), ("es", ADDRESS_ES), ("fr", ADDRESS_FR), ("de", ADDRESS_DE)):
-            for m in pattern.finditer(text) if lang in kinds else ():
-                s, e = m.span()
-                if lang == "en" and re.match(r"\d{4}\s+(?:hrs|R/)", m.group()):
-                    continue
-                if free(s, e):
-                    out.append(("address", s, e))
+            begin = max(0, at - 100)
+            dm = DOMAIN.match(text, begin + len(left))
+            if dm is not None:
+                add("email", begin + lm.start(), dm.end())
+
+    @staticmethod
+    def addresses(text: str, at: dict[str, list[int]], add: Callable[[str, int, int], None]) -> None:
+        """Expands street kinds to house number, street and unit, in windows of whole words."""
+        german = at.get("de", [])
+        if "de lead" in at and GERMAN.search(text):
+            german = german + at["de lead"]
+        for lang, places, pattern in (("en", at.get("en", ()), ADDRESS_EN), ("es", at.get("es", ()), ADDRESS_ES), ("fr", at.get("fr", ()), ADDRESS_FR), ("de", german, ADDRESS_DE)):
+            for lo, hi in merged([(words_back(text, p + 1, 7), words_on(text, p + 1, 12)) for p in places]):
+                for m in pattern.finditer(text, lo, hi):
+                    if lang != "en" or not NO_HOUSE.match(m.group()):
+                        add("address", *m.span())
+
+    @staticmethod
+    def numbers(text: str, places: list[int], cues: list[int], add: Callable[[str, int, int], None]) -> None:
+        """Expands groups of digits to the run of digits and separators around them and parses those."""
         windows: list[tuple[int, int]] = []
-        for m in DIGITS.finditer(text):
-            lo, hi = max(0, m.start() - 4), m.end() + 4
-            if windows and lo <= windows[-1][1]:
-                windows[-1] = (windows[-1][0], hi)
-            else:
-                windows.append((lo, hi))
+        done = 0
+        for p in places:
+            if p < done:
+                continue
+            lo = p
+            while lo > done and text[lo - 1] in NUMBER:
+                lo -= 1
+            done = NUMBER_RUN.match(text, p).end()
+            windows.append((max(0, lo - 4), done + 4))
+        windows = merged(windows)
         for m in (x for lo, hi in windows for x in ID.finditer(text, lo, hi)):
             s, e = m.span()
             before = text[max(0, s - 45) : s]
-            if NOT_ID.search(before) or not free(s, e):
+            if NOT_ID.search(before):
                 continue
             d = m.group()
-            if d.isdigit() and not d.startswith("000") and not ID_CUE.search(before):
-                continue
-            out.append(("idnum", s, e))
+            if d.isdigit() and not d.startswith("000"):
+                k = bisect_left(cues, s - 45)
+                if not any(ID_CUE.match(text, c) for c in cues[k : bisect_left(cues, s)]):
+                    continue
+            add("idnum", s, e)
         for m in (x for lo, hi in windows for x in PHONE.finditer(text, lo, hi)):
             s, e = m.span()
             n = sum(c.isdigit() for c in m.group())
-            if not free(s, e) or NOT_ID.search(text[max(0, s - 30) : s]) or not 7 <= n <= 15:
+            if NOT_ID.search(text[max(0, s - 30) : s]) or not 7 <= n <= 15:
                 continue
-            if n == 7 and re.search(r"(?:pp?|pages?|nos?)\.?\s*$", text[max(0, s - 8) : s], re.I):
+            if n == 7 and PAGE_BEFORE.search(text[max(0, s - 8) : s]):
                 continue
-            out.append(("phone", s, e))
-        return out
+            add("phone", s, e)
 
     def names(self, text: str, taken: bytearray) -> list[tuple[str, int, int]]:
         known, memo = self.known, self.memo

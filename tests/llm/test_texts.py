@@ -119,6 +119,15 @@ def test_pii_spans(spark):
     assert pii.find(docs.select("src", "row_id", "text", "listed").limit(0)).count() == 0
 
 
+def test_pii_anchors_are_expanded_where_they_stand():
+    find = pii.Finder(set())
+    filler = "Nothing here 12 of note. " * 400
+    text = f"{filler}Write a.b+c@mail.example.org now. {filler}He lives at 12 Mill Race\nStreet, Unit 5 then. {filler}Licence A123-4567-8901, passport number 123456789, tag 945-13-4015. {filler}It was 987654321. Call +33 1 23 45 67 89. Calle Mayor 5, 3.º B. 4, rue des Aulnes. Hauptstraße 7."
+    assert [(k, text[s:e]) for k, s, e in find(text)] == [("email", "a.b+c@mail.example.org"), ("address", "12 Mill Race\nStreet, Unit 5"), ("idnum", "A123-4567-8901"), ("idnum", "123456789"), ("phone", "+33 1 23 45 67 89"), ("address", "Calle Mayor 5, 3.º B"), ("address", "4, rue des Aulnes"), ("address", "Hauptstraße 7")]
+    for odd in ("@" * 3000, "5" * 5000, " " * 5000, "+1" * 3000, "1 " * 5000, " St. " * 3000, "[at" * 2000):
+        find(odd)
+
+
 def test_pii_large_lexicon_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, PII) for i in range(3)], "row_id bigint, text string").selectExpr("'d' as src", "row_id", "text", "cast(null as string) as listed")
     a = {tuple(r) for r in pii.find(docs).collect()}
