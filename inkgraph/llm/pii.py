@@ -61,7 +61,7 @@ EMAIL_ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 AT = r"(?:\s?@\s?|\s*[\[(]\s?(?:at|AT)\s?[\])]\s*)"
 DOT = r"(?:\.|\s*[\[(]\s?(?:dot|DOT)\s?[\])]\s*)"
 LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_+])?$")
-DOMAIN = re.compile(rf"{AT}([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*?{DOT}[A-Za-z]{{2,}})(?![\w])")
+DOMAIN = re.compile(rf"{AT}([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}})(?![\w])")
 
 PHONE = re.compile(
     r"(?<![\w+/-])(?:"
@@ -97,6 +97,7 @@ GARBLED = re.compile(r"Ã[^A-ZÀ-Þ\s]|[�√├┬Γ╨╤]|Â[\x80-\xbf]|â[\
 WIDE = re.compile(r"[ァ-ヺ一-鿿]")
 GERMAN = re.compile(r"\b(?:der|die|das|und|wohnt|nicht|ist)\b")
 EASTERN = re.compile("[\u0144\u0103\u0151\u0155\u0119\u015f\u0154\u0102]")
+SPACE = re.compile(r"\s")
 NO_HOUSE = re.compile(r"\d{4}\s+(?:hrs|R/)")
 PAGE_BEFORE = re.compile(r"(?:pp?|pages?|nos?)\.?\s*$", re.I)
 AFTER = re.compile(r"\S*")
@@ -282,6 +283,13 @@ def anchors():
     return a
 
 
+def listed(text: str, start: int, end: int) -> bool:
+    """Whether a name that reaches a line end fills its line but for titles, as in a list of persons: the next line is another."""
+    begin = text.rfind("\n", 0, start) + 1
+    words = text[begin:start].split()
+    return " " in text[start:end] and len(words) < 4 and all(w.strip(".,-*•").lower() in TITLES or not w.strip(".-*•)") or w.rstrip(".)").isdigit() for w in words)
+
+
 def words_back(text: str, at: int, n: int) -> int:
     """Where the ``n`` words before a place begin."""
     width = 120
@@ -436,7 +444,8 @@ class Finder:
             if kind == 1:
                 prev_end, titled, open_name = e, True, False
                 continue
-            close = 0 < s - prev_end <= 2 and text[prev_end:s].isspace()
+            between = text[prev_end:s] if 0 < s - prev_end <= 2 else ""
+            close = between.isspace() and between.count("\n") < 2 and "\t" not in between
             stop = text[e : e + 1] == "."
             if kind == 4 or k == "m" and open_name and close:
                 if stop and close and (open_name or titled):
@@ -459,19 +468,17 @@ class Finder:
                 hit = titled and not raw.isupper() and len(k) > 2 and digits < 2 or open_name and len(k) > 4 and (digits > 0 or "ſ" in raw)
             if hit and k not in NEVER:
                 end = e - 2 if raw[-2:] in OWNER else e
-                if open_name and close:
+                if open_name and close and not ("\n" in between and listed(text, out[-1][1], prev_end)):
                     out[-1][2] = end
                 else:
-                    start = s
-                    head = text[max(0, s - 8) : s]
-                    im = INITIALS_BEFORE.search(head)
-                    if im is not None and not head[: im.start()].rstrip().endswith("."):
-                        start = s - len(im.group())
-                    out.append(["name", start, end])
+                    out.append(["name", s, end])
                 open_name, prev_end, titled = end == e, e, False
             else:
                 prev_end, titled, open_name = -9, False, False
         for span in out:
+            # an initial leads a surname; before a full name it is a title (M.) or a label (A.)
+            if SPACE.search(text, span[1], span[2]) is None and (im := INITIALS_BEFORE.search(text, max(0, span[1] - 8), span[1])) is not None:
+                span[1] = im.start()
             if (sm := SUFFIX.match(text, span[2])) is not None:
                 span[2] = sm.end()
         found = [tuple(x) for x in out]

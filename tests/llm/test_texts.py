@@ -128,6 +128,12 @@ def test_pii_anchors_are_expanded_where_they_stand():
         find(odd)
 
 
+def test_pii_names_in_lists_and_labels():
+    find = pii.Finder({"tom", "velmar", "ann", "oak", "zoë", "elm"})
+    text = "Participants:\n\nDeputy Tom Velmar\nAnn Oak\nZoë Elm (A)\n\nTom Velmar\tAnn Oak ran. M. Zoë Elm est là.\nT. Velmar: Hm. A. Zoë Elm left. Met Zoë\nElm and Ann R.\nOak."
+    assert [text[s:e] for k, s, e in find(text)] == ["Tom Velmar", "Ann Oak", "Zoë Elm", "Tom Velmar", "Ann Oak", "Zoë Elm", "T. Velmar", "Zoë Elm", "Zoë\nElm", "Ann R.\nOak"]
+
+
 def test_pii_large_lexicon_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, PII) for i in range(3)], "row_id bigint, text string").selectExpr("'d' as src", "row_id", "text", "cast(null as string) as listed")
     a = {tuple(r) for r in pii.find(docs).collect()}
