@@ -27,6 +27,11 @@ def expand(c: Column) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), fixed.ABBREVIATIONS, c)
 
 
+def expand_tight(c: Column) -> Column:
+    """Abbreviations that are left in unified sentences, written out."""
+    return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), fixed.TIGHT_ABBREVIATIONS, c)
+
+
 def biography(c: Column) -> Column:
     c = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"\n{3,}", "\n\n")
     return F.trim(F.regexp_replace(c, r"[ \t]+", " "))

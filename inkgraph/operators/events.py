@@ -48,6 +48,10 @@ def number_in_doc(events: DataFrame, keys: list[str], order: list[str], out: str
     return events.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))  # events of one document
 
 
+def event_id(doc_name: Column, number: Column) -> Column:
+    return F.concat(doc_name, F.lit("_EV"), number.cast("string"))
+
+
 def before_edges(events: DataFrame, case: str = "case_id", at: str = "time_resolved", ident: str = "id") -> DataFrame:
     """(case, source, target): each timed event BEFORE the next of its case; ties keep the order of ids.
 

@@ -43,6 +43,42 @@ def endpoint(phrase: Column, rules: list[tuple[str, str]]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
+def canonical_end(norm: Column, rules: list[tuple[str, str, str | None]]) -> Column:
+    """The node of a relation's end: by the first rule (``is``: the whole phrase, ``has``: in it) that fits, else the phrase's own."""
+    own = F.concat(F.lit("ENT_"), F.replace(norm, F.lit(" "), F.lit("_")))
+    out = None
+    for how, words, ident in rules:
+        hit = norm == words if how == "is" else norm.contains(words)
+        value = own if ident is None else F.lit(ident)
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return own if out is None else out.otherwise(own)
+
+
+def pagerank_by(edges: DataFrame, nodes: DataFrame, key: str, iterations: int | None = None, alpha: float = 0.85, tol: float = 1e-6, most: int = 100) -> DataFrame:
+    """(key, id, score): PageRank of the graph of each key by itself, as :func:`pagerank` does it for one.
+
+    ``edges``: (key, source, target), ``nodes``: (key, id).  Lost mass is spread within its key; all keys iterate together
+    until the largest of their changes per node is below ``tol``.
+    """
+    adj = written(edges.select(key, F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
+    deg = adj.groupBy(key, F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    ids = nodes.select(key, "id").union(adj.select(key, "src")).union(adj.select(key, "dst")).distinct()
+    size = ids.groupBy(key).agg(F.count("*").alias("n"))
+    ranks = written(ids.join(deg, [key, "id"], "left").join(size, key).select(key, "id", "deg", "n", (1.0 / F.col("n")).alias("score")))
+    for _ in range(iterations or most):
+        gave = ranks.where("deg is not null").select(key, F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("give"))
+        got = adj.join(gave, [key, "src"]).groupBy(key, F.col("dst").alias("id")).agg(F.sum("give").alias("got"))
+        lost = ranks.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
+        new = ranks.withColumnRenamed("score", "old").join(got, [key, "id"], "left").join(lost, key)
+        new = written(new.select(key, "id", "deg", "n", "old", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("score")))
+        ranks = new.drop("old")
+        if iterations is None:
+            change = new.groupBy(key).agg((F.sum(F.abs(F.col("score") - F.col("old"))) / F.first("n")).alias("c")).agg(F.max("c")).first()[0]
+            if change is None or change < tol:
+                break
+    return ranks.select(key, "id", "score")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.where("source_id is not null and target_id is not null").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
@@ -124,16 +160,39 @@ def score_stats(scores: DataFrame) -> DataFrame:
     return s.withColumn("threshold", F.when(F.col("n") > 10, F.col("mean") + 0.5 * F.col("sd")).otherwise(0.3 * F.col("hi")))
 
 
-def ranked(scores: DataFrame) -> DataFrame:
+def ranked(scores: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, score, is_significant) and, with ``nodes`` (id, text, label), their text and label; ``Unknown`` where there is no node."""
     stats = score_stats(scores).select("threshold")
-    return scores.crossJoin(F.broadcast(stats)).select("id", "score", (F.col("score") >= F.col("threshold")).alias("is_significant"))
+    out = scores.crossJoin(F.broadcast(stats)).select("id", "score", (F.col("score") >= F.col("threshold")).alias("is_significant"))  # one row
+    if nodes is None:
+        return out
+    named = out.join(nodes.select("id", "text", "label"), "id", "left")
+    return named.withColumns({"text": F.coalesce("text", F.lit("Unknown")), "label": F.coalesce("label", F.lit("Unknown"))})
 
 
-def view(scores: DataFrame, edges: DataFrame, prefix: str, top: int, significant: bool = True) -> DataFrame:
-    """Nodes of a kind that are connected and significant, the best ``top`` of them (a top-k report)."""
+def view(scores: DataFrame, nodes: DataFrame, edges: DataFrame, around: str | None = None, types: list[str] | None = None, labels: list[str] | None = None, significant: bool = False, min_score: float | None = None, top: int | None = None) -> DataFrame:
+    """Nodes (id, type, label, text, score) that pass all given filters, in this order: connected, near a node, of types, of labels, significant, scored, best.
+
+    Nodes without a score have 0.  ``top`` is a top-k report; ties go to the smaller id.
+    """
     ends = edges.select(F.col("source_id").alias("id")).union(edges.select(F.col("target_id").alias("id")))
-    rows = ranked(scores).join(ends, "id", "left_semi").where(F.col("id").startswith(prefix))
-    return (rows.where("is_significant") if significant else rows).orderBy(F.desc("score"), "id").limit(top)
+    rows = nodes.join(ends, "id", "left_semi")
+    if around is not None:
+        near = neighbourhood(edges, around).select("id").union(nodes.where(F.col("id") == around).select("id"))
+        rows = rows.join(near, "id", "left_semi")
+    rows = rows.where(F.col("type").isin(types)) if types else rows
+    rows = rows.where(F.col("label").isin(labels)) if labels else rows
+    rows = rows.join(ranked(scores), "id", "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "is_significant": F.coalesce("is_significant", F.lit(False))})
+    rows = rows.where("is_significant") if significant else rows
+    rows = rows.where(F.col("score") >= min_score) if min_score is not None else rows
+    rows = rows.orderBy(F.desc("score"), "id").limit(top) if top is not None else rows
+    return rows.select("id", "type", "label", "text", "score")
+
+
+def drawn(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, type, score) with the colour of their type and a size by their score."""
+    colour = F.when(F.col("type") == "Entity", "skyblue").when(F.col("type") == "Event", "lightcoral").when(F.col("type") == "Location", "lightgreen").otherwise("gray")
+    return nodes.withColumns({"color": colour, "size": 500 + F.coalesce("score", F.lit(0.0)) * 10000})
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,6 +200,19 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "source_id", "left_semi").join(b, "target_id", "left_semi")
 
 
+def find_node(nodes: DataFrame, name: str) -> str | None:
+    """The id of a node by its id, else of the first one (by ``ord``) whose text holds the name or is held by it.
+
+    A node without text matches every name, as a text of no length is held by all.
+    """
+    low = name.lower().replace("_", " ")
+    exact = nodes.where(F.lower("id") == low).agg(F.min_by("id", "ord")).first()[0]
+    if exact is not None:
+        return exact
+    shown = F.lower(F.coalesce("text", F.lit("")))
+    return nodes.where(F.contains(shown, F.lit(low)) | F.contains(F.lit(low), shown)).agg(F.min_by("id", "ord")).first()[0]
+
+
 def neighbourhood(edges: DataFrame, ident: str) -> DataFrame:
     """(id, direction) of the nodes one step from a node."""
     out = edges.where(F.col("source_id") == ident).select(F.col("target_id").alias("id"), F.lit("out").alias("direction"))

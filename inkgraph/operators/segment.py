@@ -31,6 +31,11 @@ def header(body: Column) -> Column:
     return F.struct(F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("header_time"))
 
 
+def interview_body(c: Column) -> Column:
+    """What follows the header of an interview: its first line, and the second where it has text."""
+    return F.trim(F.regexp_replace(c, r"^[^\n]*(\n|$)([ \t]*[^ \t\n][^\n]*(\n|$))?", ""))
+
+
 def colon_turns(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, turn, speaker, text): a line with a colon opens a turn, other lines go on with it; before the first: NARRATOR."""
     lines = df.select(key, F.posexplode(F.split(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line != ''")
@@ -47,15 +52,36 @@ def sentences(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     return df.select(*keys, F.posexplode(parts).alias("sent_idx", "text")).where("text != ''")
 
 
+def sentence_array(body: Column, guard: bool = True) -> Column:
+    """The sentences of a text as an array; ``guard``: a stop of a listed abbreviation ends none."""
+    t = text.squeeze(body)
+    if guard:
+        t = F.regexp_replace(t, r"\b(" + "|".join(x.replace(".", r"\.") for x in fixed.STOPPED) + r")\.", "$1\u0002")
+    parts = F.split(F.regexp_replace(t, r"([.!?])\s+", "$1" + MARK), MARK)
+    return F.filter(F.transform(parts, lambda x: F.replace(x, F.lit("\u0002"), F.lit("."))), lambda x: x != "")
+
+
 def flags(c: Column) -> dict[str, Column]:
     return {"has_time": c.rlike(fixed.CLOCK), "has_actor": c.rlike(fixed.ACTOR), "has_env": c.rlike(fixed.SURROUNDINGS)}
 
 
+def _short(t: Column) -> Column:
+    return (F.size(F.split(t, " ")) < 3) & ~t.rlike("[.!?]$")
+
+
 def merge_fragments(sents: Column) -> Column:
     """An array of sentences where one of fewer than three words without an end mark goes to the next; each merge takes two."""
-    short = lambda s: (F.size(F.split(s, " ")) < 3) & ~s.rlike("[.!?]$")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
-    step = lambda a, s: F.when(a["held"].isNotNull(), F.struct(F.array_append(a["done"], F.concat(a["held"], F.lit(" "), s)).alias("done"), F.lit(None).cast("string").alias("held"))).when(short(s), F.struct(a["done"].alias("done"), s.alias("held"))).otherwise(F.struct(F.array_append(a["done"], s).alias("done"), F.lit(None).cast("string").alias("held")))
+    return F.transform(merge_flagged(F.transform(sents, lambda s: F.struct(s.alias("text"), *[F.lit(False).alias(k) for k in ("has_time", "has_actor", "has_env")]))), lambda s: s["text"])
+
+
+def merge_flagged(sents: Column) -> Column:
+    """The same over structs (text, has_time, has_actor, has_env); a merged sentence has the flags of both."""
+    names = ("has_time", "has_actor", "has_env")
+    kind = "struct<text:string,has_time:boolean,has_actor:boolean,has_env:boolean>"
+    none = F.lit(None).cast(kind)
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("held"))
+    joined = lambda a, b: F.struct(F.concat(a["text"], F.lit(" "), b["text"]).alias("text"), *[(a[n] | b[n]).alias(n) for n in names])
+    step = lambda a, s: F.when(a["held"].isNotNull(), F.struct(F.array_append(a["done"], joined(a["held"], s)).alias("done"), none.alias("held"))).when(_short(s["text"]), F.struct(a["done"].alias("done"), s.alias("held"))).otherwise(F.struct(F.array_append(a["done"], s).alias("done"), none.alias("held")))
     return F.aggregate(sents, start, step, lambda a: F.when(a["held"].isNotNull(), F.array_append(a["done"], a["held"])).otherwise(a["done"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkgraph.functions import text
-from inkgraph.operators import entities, events, graph, parses, payloads, providers, quality, relations, segment, web
+from inkgraph.operators import casework, entities, events, graph, parses, payloads, providers, quality, relations, segment, web
 from inkgraph.operators import timestamps
 from inkgraph.operators.ordered import following, position, running
 from inkgraph.operators.timestamps import case_times, normalize, zone_intervals
@@ -99,6 +99,60 @@ def test_pool_and_merge(spark):
     assert one(spark, entities.replace_pronouns(F.col("t"), [("he", F.lit("$1 Bob"))]), t="He ran; the hero, he") == "$1 Bob ran; the hero, $1 Bob"
 
 
+def test_merges_against_brute_force(spark):
+    rnd = random.Random(9)
+    groups = [["a", "b"], ["c"], ["b"], ["d"]]
+    rows = [(k, i, "_".join(rnd.sample("abcdxyz", rnd.randint(1, 3)))) for k in "pqrst" for i in range(1, 15)]
+    want = {}
+    for k in "pqrst":
+        alive, into = {i: n for kk, i, n in rows if kk == k}, {i: i for kk, i, _ in rows if kk == k}
+        for words in groups:
+            hit = sorted(i for i, n in alive.items() if any(w in n for w in words))
+            for i in hit[1:]:
+                del alive[i]
+                into = {x: hit[0] if y == i else y for x, y in into.items()}
+        want |= {(k, i): y for i, y in into.items()}
+    got = entities.merge_by_words(spark.createDataFrame(rows, "k string, global_id bigint, norm string"), ["k"], groups, whole_words=False)
+    assert {(r.k, r.global_id): r.into for r in got.collect()} == want
+
+
+def test_case_pipeline(spark):
+    n = spark.createDataFrame([(1, "c", "At 9:05 a.m. the guard saw the dog. Victim fell. He observed a body in the kitchen. So\nIt ended at 10:15 a.m. sharp."), (2, "c", None), (3, None, " ")], "id int, case_id string, text string")
+    b = spark.createDataFrame([(1, "c", "Title\n\nShe was born on May 3, 1990. Dr. Ray met her.")], "id int, case_id string, biography string")
+    i = spark.createDataFrame([(1, "c", "Ann interview\nMonday – 9:07 am\nParticipants:\nAnn: I observed the residence at 9:10 a.m.\nBob:\n")], "id int, case_id string, interview_text string")
+    st = casework.run(casework.documents(n, b, i))
+    s = {(r.doc_name, r.sentence_id): r for r in st["sentences"].collect()}
+    assert s["biography_1", 2].text == "Dr. Ray met her." and s["biography_1", 1].has_time and s["interview_1", 0].speaker == "Ann" and s["interview_1", 0].time == "Monday – 9:07 am"
+    assert {(r.text, r.label, r.start, r.end) for r in st["entities"].where("doc_name = 'narrative_1' and label = 'EVIDENCE'").collect()} == {("dog", "EVIDENCE", 31, 34), ("body", "EVIDENCE", 14, 18)}
+    assert {r.unified for r in st["unified"].where("sentence_id = 2 and doc_name = 'narrative_1'").collect()} == {"Victim observed a body in the kitchen."}
+    rel = {(r.subject, r.predicate, r.object, r.relation_type) for r in st["relations"].collect()}
+    assert ("Victim", "observe", "a body in the kitchen", "OBSERVED") in rel and ("I", "observe", "the residence at 9", "OBSERVED") in rel
+    e = {r.event_id: r for r in st["events"].collect()}
+    assert e["narrative_1_EV2"].locations == ["kitchen"] and e["narrative_1_EV2"].participants == ["body"] and e["interview_1_EV1"].time_resolved == "2022-10-16T09:07:00"
+    assert {(r.source_event, r.target_event) for r in st["timeline"].collect()} == {("narrative_1_EV1", "narrative_1_EV2"), ("narrative_1_EV2", "interview_1_EV1")}
+    nodes = {r.id: (r.type, r.text) for r in st["nodes"].collect()}
+    assert nodes["ENT_body"] == ("Entity", "body") and nodes["LOC_kitchen"] == ("Location", "kitchen") and nodes["TIME_20221016090700"][0] == "Time"
+    kinds = {(r.source, r.target, r.edge_type) for r in st["edges"].collect()}
+    assert ("ENT_victim", "ENT_body", "OBSERVED") in kinds and ("narrative_1_EV2", "narrative_1_EV1", "AFTER") in kinds
+    v = casework.verify(st, 2).first()
+    assert v.passed and v.timeline_has_before_after and not casework.verify(st, 50).first().passed
+    assert {k: d.count() for k, d in casework.export(st).items()}["documents"] == 3
+    empty = casework.run(casework.documents(n.limit(0), b.limit(0), i.limit(0)))
+    assert empty["nodes"].count() == 0 and casework.verify(empty).count() == 0
+
+
+def test_ranks_of_each_case_by_itself(spark):
+    one = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "f")]
+    e = spark.createDataFrame([(k, s, t) for k in "xy" for s, t in (one if k == "x" else one[:3])], "k string, source string, target string")
+    nodes = spark.createDataFrame([("x", "z"), ("w", "q")], "k string, id string")
+    got = {(r.k, r.id): r.score for r in graph.pagerank_by(e, nodes, "k").collect()}
+    for k, extra in (("x", "z"), ("y", None)):
+        ex = e.where(F.col("k") == k).selectExpr("1 as edge_id", "source as source_id", "target as target_id")
+        alone = graph.pagerank(ex, None if extra is None else spark.createDataFrame([(extra,)], "id string"))
+        assert all(abs(got[k, r.id] - r.score) < 1e-4 for r in alone.collect())
+    assert got["w", "q"] == pytest.approx(1.0)
+
+
 def test_events(spark):
     day = date(2022, 10, 16)
     for raw, lenient, strict in [("9:05 am", "09:05", "09:05"), ("9:05 a.m.", "09:05", None), ("12:00 a.m.", "00:00", None), ("12:30 p.m.", "12:30", None), ("13:75 pm", None, None), ("9.30PM", "21:30", "21:30")]:
@@ -133,7 +187,7 @@ def test_refine_and_quality(spark):
     n = spark.createDataFrame([("i", None, None, 2), ("i", "t", "L", 5), (None, "q", "L", 1)], "id string, text string, label string, ord int")
     assert [tuple(r) for r in graph.dedupe_nodes(n).collect()] == [("i", "i", "Unknown", 2)]
     assert quality.orphans(e, "source_id", e.select("target_id"), "target_id").count() == 3
-    assert {r.x for r in spark.createDataFrame([("observe a thing",), ("Remove it",), ("be",)], "p string").select(relations.edge_type(relations.relation_type(F.col("p"))).alias("x")).collect()} == {"OBSERVED", None}
+    assert {r.x for r in spark.createDataFrame([("observe",), (" Remove ",), ("be",), ("observe a thing",)], "p string").select(relations.edge_type(relations.relation_type(F.col("p"))).alias("x")).collect()} == {"OBSERVED", None}
     links = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("a", 0, "r"), ("a", 1, "c"), ("b", 0, "d")], "src string, pos int, dst string")
     assert [r.url for r in web.frontier(links, "r", 4).orderBy("visit").collect()] == ["r", "a", "b", "c"]
 
@@ -237,9 +291,20 @@ def test_triples_and_patterns(spark):
     s = parse(("The", "the", "DET", "det", "", 1), ("officer", "officer", "NOUN", "nsubj", "ROLE", 2), ("arrived", "arrive", "VERB", "ROOT", "", -1), ("at", "at", "ADP", "prep", "", 2), ("home", "home", "NOUN", "pobj", "", 3))
     assert parses.triples_of(s) == [{"subject": "The officer", "predicate": "arrive", "object": "home"}] and parses.triples_of([]) == []
     m = parse(("Ann", "Ann", "PROPN", "nsubj", "PERSON", 1), ("interviewed", "interview", "VERB", "ROOT", "", -1), ("Bob", "Bob", "PROPN", "dobj", "PERSON", 1))
-    assert parses.matches_of(m) == [{"subject": "Ann", "predicate": "INTERVIEWED", "object": "Bob"}]
+    assert parses.matches_of(m) == [{"subject": "Ann", "predicate": "interviewed", "object": "Bob", "relation_type": "INTERVIEWED"}]
+    born = parse(("Ann", "Ann", "PROPN", "nsubjpass", "PERSON", 2), ("was", "be", "AUX", "auxpass", "", 2), ("born", "bear", "VERB", "ROOT", "", -1), ("to", "to", "ADP", "prep", "", 2), ("Eve", "Eve", "PROPN", "pobj", "PERSON", 3), ("Oak", "Oak", "PROPN", "flat", "PERSON", 4))
+    got = [(r["subject"], r["relation_type"], r["object"]) for r in parses.matches_of(born)]
+    assert got == [("Eve", "HAS_CHILD", "Ann"), ("Ann", "HAS_PARENT", "Eve"), ("Eve", "HAS_CHILD", "Ann"), ("Oak", "HAS_CHILD", "Ann"), ("Ann", "HAS_PARENT", "Eve and Oak")]
+    well = parse(("Ann", "Ann", "PROPN", "nsubj", "PERSON", 3), ("and", "and", "CCONJ", "cc", "", 0), ("Eve", "Eve", "PROPN", "conj", "PERSON", 0), ("got", "get", "VERB", "ROOT", "", -1), ("along", "along", "ADV", "prt", "", 3), ("well", "well", "ADV", "advmod", "", 3))
+    assert {(r["subject"], r["predicate"], r["object"]) for r in parses.matches_of(well)} == {("Ann", "got along well", "Eve"), ("Eve", "has sibling", "Ann")}
+    told = parse(("Ann", "Ann", "PROPN", "nsubj", "PERSON", 1), ("told", "tell", "VERB", "ROOT", "", -1), ("Eve", "Eve", "PROPN", "dobj", "PERSON", 1), ("Ann", "Ann", "PROPN", "nsubj", "PERSON", 4), ("said", "say", "VERB", "ccomp", "", 1))
+    assert {(r["relation_type"], r["object"]) for r in parses.matches_of(told)} == {("TOLD", "Eve"), ("STATED", "Ann said")}
     d = spark.createDataFrame([(1, s), (2, None)], f"id int, p array<{parses.TOKEN}>")
     assert {r.id: len(r.t) for r in d.select("id", parses.triples("p").alias("t")).collect()} == {1: 1, 2: 0}
+    t = spark.createDataFrame([(1, "Deputy Ray secured the back door."), (2, ""), (3, None)], "id int, s string")
+    rows = {r.id: r for r in parses.attach(t, "s").collect()}
+    assert rows[1].root_index == 2 and rows[1].has_dependencies and not rows[2].has_dependencies and rows[3].root_index is None
+    assert parses.triples_of(parses.shallow_of("Deputy Ray secured the back door.")) == [{"subject": "Deputy Ray", "predicate": "secure", "object": "the back door"}]
 
 
 def test_payloads(spark):

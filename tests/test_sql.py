@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from inkgraph.plans import core
+from inkgraph.plans import core, registry  # noqa: F401  (registers all queries)
 
 
 @pytest.fixture(scope="module")
