@@ -21,6 +21,7 @@ from inkgraph.functions import fixed, text
 from inkgraph.operators import entities as ent
 from inkgraph.operators import events as ev
 from inkgraph.operators import graph, relations, segment
+from inkgraph.session import cut
 
 DOC = ["case_id", "doc_name"]
 MARK = "\u0001"
@@ -209,16 +210,19 @@ def events(rels: DataFrame, sents: DataFrame, ents: DataFrame) -> DataFrame:
     return e.withColumn("event_id", ev.event_id(F.col("doc_name"), F.col("event_no")))
 
 
-def timeline(evs: DataFrame, days: DataFrame | None = None, incident_date: str = fixed.INCIDENT_DATE) -> tuple[DataFrame, DataFrame]:
-    """The events with ``time_resolved``, and the BEFORE edges (case_id, source_event, target_event) of each case.
+def timed(evs: DataFrame, days: DataFrame | None = None, incident_date: str = fixed.INCIDENT_DATE) -> DataFrame:
+    """The events with ``time_resolved``, their clock time on the day of their case.
 
     ``days``: (case_id, day) of the incidents; without it every case has ``incident_date``.
     """
     e = evs.withColumn("_day", F.lit(incident_date).cast("date")) if days is None else evs.join(days.withColumnRenamed("day", "_day"), "case_id", "left")
-    e = e.withColumn("time_resolved", ev.clock_to_iso(F.col("time_raw"), F.col("_day"))).drop("_day")
-    keyed = e.select("case_id", "time_resolved", F.struct("doc_name", "event_no", "event_id").alias("id"))
-    b = ev.before_edges(keyed)
-    return e, b.select("case_id", F.col("source_event.event_id").alias("source_event"), F.col("target_event.event_id").alias("target_event"))
+    return e.withColumn("time_resolved", ev.clock_to_iso(F.col("time_raw"), F.col("_day"))).drop("_day")
+
+
+def before_edges(evs: DataFrame) -> DataFrame:
+    """(case_id, source_event, target_event): each timed event BEFORE the next one of its case over all documents."""
+    b = ev.before_edges(evs.select("case_id", "time_resolved", F.struct("doc_name", "event_no", "event_id").alias("id")))
+    return b.select("case_id", F.col("source_event.event_id").alias("source_event"), F.col("target_event.event_id").alias("target_event"))
 
 
 # --- graph ------------------------------------------------------------------------------------------------------
@@ -268,22 +272,19 @@ def entity_ranks(nodes: DataFrame, edges: DataFrame, iterations: int | None = No
     return graph.pagerank_by(edges.where("source like 'ENT\\_%' and target like 'ENT\\_%'"), own, "case_id", iterations)
 
 
-def run(docs: DataFrame, days: DataFrame | None = None, keep=lambda df: df) -> dict[str, DataFrame]:
-    """All stages by name.  ``keep`` is applied to the stages that are read more than once (a cut, on large inputs)."""
+def run(docs: DataFrame, days: DataFrame | None = None, keep=cut) -> dict[str, DataFrame]:
+    """All stages by name.  ``keep`` is applied to the stages that are read more than once; without a cut the plans multiply."""
     out: dict[str, DataFrame] = {"documents": docs}
     out["segments"] = segments(docs)
     out["sentences"] = keep(sentences(out["segments"]))
     out["entities"] = keep(recognise(out["sentences"]))
-    out["clusters"] = document_clusters(mentions(docs, out["entities"]))
+    out["clusters"] = keep(document_clusters(mentions(docs, out["entities"])))
     out["pool"] = case_pool(out["clusters"])
     out["unified"] = unify(out["sentences"], pronoun_map(out["clusters"]))
     out["relations"] = keep(refine(good_triples(triples(out["unified"]), out["entities"])))
-    timed, before = timeline(events(out["relations"], out["sentences"], out["entities"]), days)
-    out["events"] = keep(timed)
-    if out["events"] is not timed:
-        before = timeline(out["events"].drop("time_resolved"), days)[1]
-    out["timeline"] = before
-    out["nodes"], out["edges"] = build_graph(out["entities"], out["events"], out["relations"], before)
+    out["events"] = keep(timed(events(out["relations"], out["sentences"], out["entities"]), days))
+    out["timeline"] = before_edges(out["events"])
+    out["nodes"], out["edges"] = build_graph(out["entities"], out["events"], out["relations"], out["timeline"])
     return out
 
 

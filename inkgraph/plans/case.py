@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from inkgraph.operators import casework, graph, parses, segment
 from inkgraph.plans.core import query, sql_expand, sql_narrative, sql_squeeze
-from inkgraph.session import cut
 from inkgraph.sources.tables import table
 
 # --- SQL, stage by stage ----------------------------------------------------------------------------------------
@@ -158,7 +157,7 @@ def _docs(spark, sf):
 
 
 def _stages(spark, sf):
-    return casework.run(_docs(spark, sf), keep=cut)
+    return casework.run(_docs(spark, sf))
 
 
 @query("c4_interview_body", f"WITH {_DOCS} SELECT doc_name, {_BODY} AS body FROM docs WHERE doc_type = 'interview'")
