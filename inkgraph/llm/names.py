@@ -7,14 +7,17 @@ only where one side is rare in the corpus, so that relatives with different give
 turned order, missing spaces, misread digits, abbreviations and acronyms, titles, remarks.  Each spelling is attached to
 the form of maximum posterior above it; following the attachments to their roots gives the entities.
 
-Scale.  Rows are pre-aggregated to distinct spellings with counts.  Candidates come from an equi-join on (case, key), where
-a key holds the beginning or end of one part together with the initial of the other, so that even a case with a third
-of all rows falls into small blocks; there are no all-pairs within a case, and nothing is collected.  Roots are found by
-pointer jumping over spellings, which takes log(depth) joins of aggregated rows, cut by checkpoints.
+Scale.  Rows are pre-aggregated to distinct spellings with counts; what a spelling is by itself is worked out once for the
+corpus.  Candidates come from an equi-join on (case, key), where a key holds the beginning or end of one part together with
+the initial of the other, so that even a case with a third of all rows falls into small blocks; only spellings, counts and
+ranks travel through it.  There are no all-pairs within a case, and nothing is collected.  Roots are found by pointer jumping
+over spellings, which takes log(depth) joins of aggregated rows, cut by checkpoints.  :func:`classes` gives one row per row
+with its class; :func:`find` spells the pairs out.
 
 Edge cases: null and blank names are no mentions; rows without mentions go by their canonical name; evidence, places and
-times are left out by the type the corpus mostly gives that spelling, whatever a single row says; a surname alone that
-fits several persons goes to the likeliest; ties go to the better-ranked and then the first spelling in order; repeated
+times are left out by the type the corpus mostly gives that spelling, whatever a single row says; a surname alone, with a
+title or without, that fits several persons goes to the likeliest, and without a title it must fit letter for letter; an
+acronym has two to five letters; ties go to the better-ranked and then the first spelling in order; repeated
 rows share their spelling's entity; empty tables give no pairs; extra columns are ignored.
 """
 
@@ -52,7 +55,6 @@ TITLES = frozenset("mr mrs ms mx miss dr prof officer ofc deputy dep sheriff ser
 SUFFIX = {"sr": "sr", "senior": "sr", "jr": "jr", "junior": "jr", "ii": "jr", "iii": "iii", "iv": "iv"}
 OCR = str.maketrans("0158!|@$", "olsbilas")
 ARTICLE = re.compile(r"^(?:an?|the|some|two|three|four|several|one|his|her|their)\s+[a-z]", re.I)
-SIDE = "struct<name:string,kind:string,first:string,middle:string,last:string,suffix:string,tight:string,parts:array<string>,acronym:string,hint:string,first_n:bigint,last_n:bigint,good:double>"
 
 
 def fold(s: str) -> str:
@@ -123,7 +125,7 @@ def parse(name: str) -> tuple:
     if not given:
         if titled:
             return ("surname", "", "", last, suffix, last, [last], "", hint)
-        return ("glued", "", "", last, suffix, last, [last], "", hint) if len(last) >= 8 else none
+        return ("glued", "", "", last, suffix, last, [last], "", hint)
     first, middle = given[0], "".join(given[1:])
     if len(first) <= 2 and comma or len(first) == 1:
         return ("initial", first[0], first[1:2] or middle[:1], last, suffix, first + last, [last], "", hint)
@@ -145,8 +147,8 @@ def keys(p: tuple) -> tuple[list[str], list[str]]:
         ask = {f"{last[:4]}/{first}", f"{last[-6:]}/{first}"}
     elif kind == "surname":
         ask = {f"o{last[:4]}", f"o{last[-6:]}"}
-    elif kind == "glued":
-        ask = {f"g{last}"}
+    elif kind == "glued":  # both parts run together, or a surname alone
+        ask = {f"g{last}", f"o{last[:4]}", f"o{last[-6:]}"}
     elif kind == "org":
         place, rest = parts[0], parts[1] if len(parts) > 1 else "_"
         ask = {f"x{acronym}", f"y{place[:4]}{rest[0]}", f"y{place[-5:]}{rest[0]}"}
@@ -221,7 +223,9 @@ def cost(q: dict, c: dict) -> float:
     if bool(q["suffix"]) != bool(c["suffix"]):
         extra += 0.3
     if kq == "glued":
-        return extra + (0.2 if q["last"] in (c["first"] + c["last"], c["last"] + c["first"], c["first"] + c["middle"] + c["last"]) else 9.0)
+        if q["last"] in (c["first"] + c["last"], c["last"] + c["first"], c["first"] + c["middle"] + c["last"]):
+            return extra + 0.2
+        return extra + 1.3 if q["last"] == c["last"] else 9.0
     if kq == "surname":
         d = last_cost(q["last"], c["last"], q["last_n"], c["last_n"])
         return extra + 1.0 + d
@@ -242,48 +246,65 @@ def cost(q: dict, c: dict) -> float:
     return extra + min(straight, turned, whole)
 
 
+@lru_cache(maxsize=200_000)
+def fields(name: str) -> dict:
+    return dict(zip(("kind", "first", "middle", "last", "suffix", "tight", "parts", "acronym", "hint"), parse(name), strict=True))
+
+
 def spellings(mentions: DataFrame) -> DataFrame:
-    """Parsed distinct spellings of rows (case_id, name, type): with corpus counts of their parts and their rank."""
-    spell = mentions.groupBy("case_id", "name").agg(F.count("*").alias("n"), F.count_if(F.col("type").isin("LOC", "TIME", "EVIDENCE")).alias("n_other"), F.count_if(F.upper("type").isin("PERSON", "PER", "ORG")).alias("n_own"))
+    """(case_id, name, ask, found, full, first_n, last_n, good): the distinct spellings of rows (case_id, name, type).
 
-    schema = "kind string, first string, middle string, last string, suffix string, tight string, parts array<string>, acronym string, hint string, ask array<string>, found array<string>, folded string"
+    All that a spelling is by itself (its parts, its keys, how common its parts are, whether the corpus takes it for a person
+    or an organisation) is worked out once per distinct spelling of the corpus, on narrow rows.
+    """
+    spell = cut(mentions.groupBy("case_id", "name").agg(F.count("*").alias("n"), F.count_if(F.col("type").isin("LOC", "TIME", "EVIDENCE")).alias("n_other"), F.count_if(F.upper("type").isin("PERSON", "PER", "ORG")).alias("n_own")))
+    names = spell.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_other").alias("n_other"), F.sum("n_own").alias("n_own"))
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("kind string, first string, key_last string, suffix string, ask array<string>, found array<string>, folded string")
     def parsed(names: pd.Series) -> pd.DataFrame:
         rows = []
         for x in names:
             p = parse(x)
-            rows.append((*p, *keys(p), re.sub(r"[^a-z0-9]+", " ", fold(x)).strip()))
-        return pd.DataFrame(rows, columns=["kind", "first", "middle", "last", "suffix", "tight", "parts", "acronym", "hint", "ask", "found", "folded"])
+            rows.append((p[0], p[1], p[6][0] if p[0] == "org" else p[3], p[4], *keys(p), re.sub(r"[^a-z0-9]+", " ", fold(x)).strip()))
+        return pd.DataFrame(rows, columns=["kind", "first", "key_last", "suffix", "ask", "found", "folded"])
 
-    s = spell.withColumn("p", parsed("name")).select("case_id", "name", "n", "n_other", "n_own", "p.*").where("kind != 'none'")
+    p = cut(names.withColumn("p", parsed("name")).select("name", "n", "n_other", "n_own", "p.*").where("kind != 'none'"))
     # the type that the corpus mostly gives a spelling decides
-    types = s.groupBy("folded").agg(F.sum("n_other").alias("t_other"), F.sum("n_own").alias("t_own"))
-    s = s.join(types, "folded").where("t_own >= t_other").drop("folded", "t_own", "t_other", "n_other", "n_own")
-    s = s.withColumn("key_last", F.when(F.col("kind") == "org", F.get("parts", F.lit(0))).otherwise(F.col("last")))
-    tokens = s.select(F.explode(F.array("first", "key_last")).alias("token"), "n").where("token != ''").groupBy("token").agg(F.sum("n").alias("count"))
-    s = s.join(tokens.select(F.col("token").alias("first"), F.col("count").alias("first_n")), "first", "left").join(tokens.select(F.col("token").alias("key_last"), F.col("count").alias("last_n")), "key_last", "left")
-    s = s.fillna(1, ["first_n", "last_n"])
+    kept = p.groupBy("folded").agg(F.sum("n_other").alias("t_other"), F.sum("n_own").alias("t_own")).where("t_own >= t_other").select("folded")
+    own = p.select("name", "folded", "first", "key_last", "n").join(kept, "folded", "left_semi").select("name", "first", "key_last", "n")
+    tokens = own.select(F.explode(F.array("first", "key_last")).alias("token"), "n").where("token != ''").groupBy("token").agg(F.sum("n").alias("count"))
+    common = own.select("name", "first", "key_last").join(tokens.select(F.col("token").alias("first"), F.col("count").alias("first_n")), "first", "left").join(tokens.select(F.col("token").alias("key_last"), F.col("count").alias("last_n")), "key_last", "left")
+    common = common.select("name", F.coalesce("first_n", F.lit(1)).alias("first_n"), F.coalesce("last_n", F.lit(1)).alias("last_n"))
+    full = F.col("kind").isin("person", "org")
     rare = F.when(F.col("kind") == "org", F.col("last_n")).otherwise(F.least("first_n", "last_n"))
     plain = F.when((F.col("suffix") == "") & F.col("name").rlike(r"^\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}?[\p{Ll}\p{M}'&]*)+$"), 1.0).otherwise(0.0)
-    good = F.when(F.col("kind").isin("person", "org"), 1000.0).otherwise(0.0) + 10 * F.log1p(F.least(rare, F.lit(50))) + 5 * plain + F.log1p("n")
-    return s.withColumn("good", good)
+    good = F.when(full, 1000.0).otherwise(0.0) + 10 * F.log1p(F.least(rare, F.lit(50))) + 5 * plain
+    each = p.select("name", "kind", "suffix", "ask", "found").join(common, "name").select("name", "ask", "found", full.alias("full"), "first_n", "last_n", good.alias("good"))
+    return spell.select("case_id", "name", "n").join(each, "name").select("case_id", "name", "ask", "found", "full", "first_n", "last_n", (F.col("good") + F.log1p("n")).alias("good"))
 
 
 def attach(s: DataFrame) -> DataFrame:
-    """(case_id, name, root): every spelling with the canonical form it goes back to."""
-    side = F.struct("name", "kind", "first", "middle", "last", "suffix", "tight", "parts", "acronym", "hint", "first_n", "last_n", "good")
-    q = s.select("case_id", F.explode("ask").alias("key"), side.alias("q"))
-    c = s.where(F.col("kind").isin("person", "org")).select("case_id", F.explode("found").alias("key"), side.alias("c"))
-    above = (F.col("c.good") > F.col("q.good")) | ((F.col("c.good") == F.col("q.good")) & (F.col("c.name") < F.col("q.name")))
-    pairs = q.join(c, ["case_id", "key"]).where(above).drop("key").dropDuplicates(["case_id", "q", "c"])
+    """(case_id, name, root): every spelling with the canonical form it goes back to.
 
-    @F.pandas_udf("double")
-    def channel(q: pd.DataFrame, c: pd.DataFrame) -> pd.Series:
-        return pd.Series([cost(a, b) for a, b in zip(q.to_dict("records"), c.to_dict("records"), strict=True)])
+    Only the spellings themselves, their counts and their rank go through the join on keys; the channel parses them again,
+    from a memo.
+    """
+    q = s.select("case_id", F.explode("ask").alias("key"), F.col("name").alias("q"), F.col("first_n").alias("q_first"), F.col("last_n").alias("q_last"), F.col("good").alias("q_good"))
+    c = s.where("full").select("case_id", F.explode("found").alias("key"), F.col("name").alias("c"), F.col("first_n").alias("c_first"), F.col("last_n").alias("c_last"), F.col("good").alias("c_good"))
+    above = (F.col("c_good") > F.col("q_good")) | ((F.col("c_good") == F.col("q_good")) & (F.col("c") < F.col("q")))
+    pairs = q.join(c, ["case_id", "key"]).where(above).drop("key")
 
-    scored = pairs.withColumn("cost", channel("q", "c")).where("cost <= 3")
-    best = scored.groupBy("case_id", F.col("q.name").alias("name")).agg(F.max_by("c.name", F.struct(F.col("c.good") / 10 - 3 * F.col("cost"), F.col("c.name"))).alias("parent"))
+    @F.pandas_udf("double")
+    def channel(q: pd.Series, qf: pd.Series, ql: pd.Series, c: pd.Series, cf: pd.Series, cl: pd.Series) -> pd.Series:
+        memo: dict[tuple[str, str], float] = {}  # the counts belong to the spellings
+        for a, af, al, b, bf, bl in zip(q, qf, ql, c, cf, cl, strict=True):
+            if (a, b) not in memo:
+                memo[a, b] = cost({**fields(a), "first_n": af, "last_n": al}, {**fields(b), "first_n": bf, "last_n": bl})
+        return pd.Series([memo[x] for x in zip(q, c, strict=True)], dtype="float64")
+
+    # a pair that meets under several keys is judged under each: that costs less than a shuffle of all pairs to make them distinct
+    scored = pairs.withColumn("cost", channel("q", "q_first", "q_last", "c", "c_first", "c_last")).where("cost <= 3")
+    best = scored.groupBy("case_id", F.col("q").alias("name")).agg(F.max_by("c", F.struct(F.col("c_good") / 10 - 3 * F.col("cost"), F.col("c"))).alias("parent"))
     links = cut(s.select("case_id", "name").join(best, ["case_id", "name"], "left").withColumn("parent", F.coalesce("parent", "name")))
     while True:  # pointer jumping: the forest's depth halves each time
         up = links.select("case_id", F.col("name").alias("parent"), F.col("parent").alias("next"))
@@ -306,7 +327,7 @@ def link(entities: DataFrame, global_entities: DataFrame) -> tuple[DataFrame, Da
     """The rows of both tables with the ``root`` of their entity: (case_id, id, raw, root), (case_id, id, root)."""
     e, g = rows_of(entities, global_entities)
     mentions = e.select("case_id", "name", "type").unionByName(g.select("case_id", "name", "type"))
-    roots = cut(attach(cut(spellings(mentions))))
+    roots = attach(cut(spellings(mentions)))
     own_e = e.join(roots, ["case_id", "name"]).select("case_id", "id", "raw", "root")
     own_g = g.join(roots, ["case_id", "name"]).groupBy("case_id", "id").agg(F.min_by("root", "pos").alias("root"))
     return own_e, own_g
@@ -320,3 +341,11 @@ def find(entities: DataFrame, global_entities: DataFrame) -> DataFrame:
     a, b = g.select("case_id", "root", F.col("id").alias("id_a")), g.select("case_id", "root", F.col("id").alias("id_b"))
     pg = a.join(b, ["case_id", "root"]).where("id_a < id_b").select(F.lit("global_entities").alias("src"), "id_a", "id_b")
     return pe.unionByName(pg)
+
+
+def classes(entities: DataFrame, global_entities: DataFrame) -> DataFrame:
+    """(src, row_id, class_id, n_rows): every mention with the smallest id of its entity in its table and case, and the entity's rows."""
+    e, g = link(entities, global_entities)
+    both = e.select(F.lit("entities").alias("src"), "case_id", "id", "root").unionByName(g.select(F.lit("global_entities").alias("src"), "case_id", "id", "root"))
+    size = both.groupBy("src", "case_id", "root").agg(F.min("id").alias("class_id"), F.count("*").alias("n_rows"))
+    return both.join(size, ["src", "case_id", "root"]).select("src", F.col("id").alias("row_id"), "class_id", "n_rows")

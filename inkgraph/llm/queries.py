@@ -34,6 +34,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.find(table(spark, sf, "entities"), table(spark, sf, "global_entities"))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mention with the class of its entity: one row per row instead of pairs."""
+    from inkgraph.llm import names
+
+    ship(spark)
+    return names.classes(table(spark, sf, "entities"), table(spark, sf, "global_entities"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from inkgraph.llm import turns
 
