@@ -35,13 +35,16 @@ def participants(events: DataFrame, entities: DataFrame) -> DataFrame:
     return ids.join(who, "id").select("event", "participant").distinct()
 
 
-def locations(events: DataFrame) -> DataFrame:
-    """(event id, location): the place, and the place words that the description says and the place does not."""
+def locations(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(event id, location): the place, the place words that the description says, and the involved entities that are places."""
     place = F.lower(F.trim("place"))
     low = F.lower("description")
     words = F.filter(F.array(*map(F.lit, fixed.PLACE_WORDS)), lambda w: F.contains(low, w))
     allp = F.array_distinct(F.concat(F.when(place != "", F.array(place)).otherwise(F.array().cast("array<string>")), F.coalesce(words, F.array().cast("array<string>"))))
-    return events.select(F.col("id").alias("event"), F.explode(allp).alias("location"))
+    said = events.select(F.col("id").alias("event"), F.explode(allp).alias("location"))
+    where = entities.where((F.upper("entity_type") == "LOC") & (F.trim("entity_name") != "")).select("id", F.lower(F.trim("entity_name")).alias("location"))
+    own = events.select(F.col("id").alias("event"), F.explode("entities_involved").alias("id")).join(where, "id").select("event", "location")
+    return said.union(own).distinct()
 
 
 def number_in_doc(events: DataFrame, keys: list[str], order: list[str], out: str = "event_no") -> DataFrame:

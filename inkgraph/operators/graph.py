@@ -65,12 +65,14 @@ def pagerank_by(edges: DataFrame, nodes: DataFrame, key: str, iterations: int |
     ids = nodes.select(key, "id").union(adj.select(key, "src")).union(adj.select(key, "dst")).distinct()
     size = ids.groupBy(key).agg(F.count("*").alias("n"))
     ranks = written(ids.join(deg, [key, "id"], "left").join(size, key).select(key, "id", "deg", "n", (1.0 / F.col("n")).alias("score")))
+    last = None
     for _ in range(iterations or most):
         gave = ranks.where("deg is not null").select(key, F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("give"))
         got = adj.join(gave, [key, "src"]).groupBy(key, F.col("dst").alias("id")).agg(F.sum("give").alias("got"))
         lost = ranks.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
         new = ranks.withColumnRenamed("score", "old").join(got, [key, "id"], "left").join(lost, key)
-        new = written(new.select(key, "id", "deg", "n", "old", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("score")))
+        new = written(new.select(key, "id", "deg", "n", "old", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("score")), over=last)
+        last = new
         ranks = new.drop("old")
         if iterations is None:
             change = new.groupBy(key).agg((F.sum(F.abs(F.col("score") - F.col("old"))) / F.first("n")).alias("c")).agg(F.max("c")).first()[0]
@@ -98,7 +100,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int |
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("score"))
-    ranks = ids.select("id", "deg", F.lit(1.0 / n).alias("score"))
+    ranks, last = ids.select("id", "deg", F.lit(1.0 / n).alias("score")), None
     for i in range(iterations or most):
         gave = ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("give"))
         got = adj.join(gave, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("give").alias("got"))
@@ -106,7 +108,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, iterations: int |
         new = ranks.select("id", "deg", F.col("score").alias("old")).join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
         new = new.select("id", "deg", "old", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         if iterations is None or (i + 1) % every == 0:
-            new = written(new)
+            new = last = written(new, over=last)
         if iterations is None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tol:
             return new.select("id", "score")
         ranks = new.select("id", "deg", "score")
@@ -130,11 +132,11 @@ def eigenvector(edges: DataFrame, iterations: int | None = None, tol: float = 1e
     """
     adj = written(adjacency(edges))
     ids = written(adj.select(F.col("src").alias("id")).union(adj.select(F.col("dst").alias("id"))).distinct())
-    ranks = ids.withColumn("score", F.lit(1.0))
+    ranks, last = ids.withColumn("score", F.lit(1.0)), None
     for _ in range(iterations or most):
         got = adj.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
         new = ranks.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "old", (F.col("old") + F.coalesce("got", F.lit(0.0))).alias("score"))
-        new = written(new)
+        new = last = written(new, over=last)
         top = new.agg(F.max("score")).first()[0]
         if top is None:
             break

@@ -181,7 +181,9 @@ def c7(spark, sf):
     return _sentences(spark, sf).select("id", "sent_idx", *[c.alias(n) for n, c in segment.flags(F.col("text")).items()])
 
 
-@query("c8_merged_sentences")
+@query("c8_merged_sentences", f"""WITH {_SENTS}, f AS (SELECT *, len(string_split(text, ' ')) < 3 AND NOT regexp_matches(text, '[.!?]$') AS short FROM s),
+    n AS (SELECT id, sent_idx, text, short, lead(text) OVER w AS nt, row_number() OVER w - 1 - coalesce(max(CASE WHEN NOT short THEN rn END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sent_idx) AS rn FROM f) WINDOW w AS (PARTITION BY id ORDER BY sent_idx))
+    SELECT id, (row_number() OVER (PARTITION BY id ORDER BY sent_idx) - 1)::INT AS idx, CASE WHEN short AND nt IS NOT NULL THEN text || ' ' || nt ELSE text END AS text FROM n WHERE run % 2 = 0""")
 def c8(spark, sf):
     s = _sentences(spark, sf).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda x: x["text"]).alias("ss"))
     return s.select("id", F.posexplode(segment.merge_fragments(F.col("ss"))).alias("idx", "text"))
@@ -232,7 +234,7 @@ _PRON = ", ".join(f"'{p}'" for p in fixed.PRONOUNS)
 @query("f2_pronoun_asof", rf"""WITH t AS (SELECT id, unnest(range(0, len(w))) AS idx, w FROM (SELECT id, string_split({sql_squeeze('text')}, ' ') AS w FROM narratives WHERE text IS NOT NULL)),
     x AS (SELECT id, idx, w[idx + 1] AS token, CASE WHEN idx > 0 AND w[idx] IN ('Mr.', 'Ms.', 'Dr.') THEN regexp_replace(w[idx + 1], '[.,;:!?”"]+$', '') END AS mention FROM t),
     y AS (SELECT id, idx, lower(regexp_replace(token, '[^A-Za-z]', '', 'g')) AS pronoun, last_value(mention IGNORE NULLS) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM x)
-    SELECT id, idx::INT AS idx, pronoun, antecedent FROM y WHERE pronoun IN ({_PRON}) AND antecedent IS NOT NULL""")
+    SELECT id, idx::INT AS idx, pronoun, antecedent FROM y WHERE pronoun IN ('he', 'him', 'his', 'she', 'her', 'hers', 'they', 'them', 'their', 'theirs') AND antecedent IS NOT NULL""")
 def f2(spark, sf):
     words = F.split(text.squeeze(F.col("text")), " ")
     t = table(spark, sf, "narratives").where("text is not null").select("id", words.alias("w")).select("id", "w", F.posexplode("w").alias("idx", "token"))
@@ -277,7 +279,7 @@ def h2(spark, sf):
     return relations.entity_index(table(spark, sf, "edges_relations"), table(spark, sf, "entities")).select("rel_id", "subject_name", "subject_type", "object_name", "object_type")
 
 
-_TYPE = "CASE string_split(lower(trim(predicate, ' ')), ' ')[1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.VERB_TYPES.items()) + " END"
+_TYPE = "CASE lower(trim(predicate, ' ')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.VERB_TYPES.items()) + " END"
 
 
 @query("h6_relation_types", f"SELECT relation, edge, count(*) AS n FROM (SELECT t AS relation, CASE t WHEN 'REMOVED' THEN 'OBSERVED' WHEN 'TOLD' THEN NULL ELSE t END AS edge FROM (SELECT {_TYPE} AS t FROM edges_relations) WHERE t IS NOT NULL) GROUP BY ALL")
@@ -308,7 +310,8 @@ def i3(spark, sf):
 
 
 _PART = "(SELECT DISTINCT e.id AS event, trim(n.entity_name) AS participant FROM (SELECT id, unnest(entities_involved) AS ent FROM case_events) e JOIN entities n ON n.id = e.ent WHERE upper(n.entity_type) IN ('PERSON', 'ROLE', 'ORG', 'EVIDENCE') AND trim(n.entity_name) <> '')"
-_LOC = f"""(SELECT event, unnest(list_distinct(list_concat(CASE WHEN lower(trim(place)) <> '' THEN [lower(trim(place))] ELSE [] END, coalesce(list_filter([{', '.join(f"'{w}'" for w in fixed.PLACE_WORDS)}], lambda w: contains(lower(description), w)), [])))) AS location FROM (SELECT id AS event, place, description FROM case_events))"""
+_LOC = f"""(SELECT event, unnest(list_distinct(list_concat(CASE WHEN lower(trim(place)) <> '' THEN [lower(trim(place))] ELSE [] END, coalesce(list_filter([{', '.join(f"'{q(w)}'" for w in fixed.PLACE_WORDS)}], lambda w: contains(lower(description), w)), [])))) AS location FROM (SELECT id AS event, place, description FROM case_events)
+    UNION SELECT e.id, lower(trim(n.entity_name, ' ')) FROM (SELECT id, unnest(entities_involved) AS ent FROM case_events) e JOIN entities n ON n.id = e.ent WHERE upper(n.entity_type) = 'LOC' AND trim(n.entity_name, ' ') <> '')"""
 
 
 @query("i5_participants", f"SELECT event, participant FROM {_PART}")
@@ -318,7 +321,7 @@ def i5(spark, sf):
 
 @query("i5_locations", f"SELECT event, location FROM {_LOC}")
 def i5b(spark, sf):
-    return ev.locations(table(spark, sf, "case_events"))
+    return ev.locations(table(spark, sf, "case_events"), table(spark, sf, "entities"))
 
 
 @query("i6_event_ids", "SELECT id, row_number() OVER (PARTITION BY case_id, doc_name ORDER BY id) AS event_no FROM case_events WHERE doc_name IS NOT NULL")
@@ -363,7 +366,7 @@ def k1(spark, sf):
 def k3(spark, sf):
     events = table(spark, sf, "case_events")
     p = ev.participants(events, table(spark, sf, "entities")).select(F.lit("PARTICIPATED_IN").alias("event_type"), text.entity_id(F.col("participant")).alias("source_id"), F.col("event").cast("string").alias("target_id"))
-    loc = ev.locations(events).select(F.lit("LOCATED_AT").alias("event_type"), F.col("event").cast("string").alias("source_id"), text.entity_id(F.col("location"), "LOC_").alias("target_id"))
+    loc = ev.locations(events, table(spark, sf, "entities")).select(F.lit("LOCATED_AT").alias("event_type"), F.col("event").cast("string").alias("source_id"), text.entity_id(F.col("location"), "LOC_").alias("target_id"))
     t = _timed(spark, sf).where("time_resolved is not null").select(F.lit("HAS_TIME").alias("event_type"), F.col("id").cast("string").alias("source_id"), text.time_id(F.col("time_resolved")).alias("target_id"))
     return p.unionByName(loc).unionByName(t)
 
@@ -375,14 +378,6 @@ def k6(spark, sf):
     return b.select(F.explode(both).alias("e")).select("e.*")
 
 
-_RULES = [(r"(^|[^a-z])command post", "LOC_command_post"), (r"(medical|hospital|clinic)", "ORG_medical"), (r"(school|college)", "ORG_school"), (r"(porch|garage|attic|cellar|kitchen)", "LOC_house")]
-
-
-@query("k7_endpoints", "SELECT rel_id, CASE " + " ".join(f"WHEN regexp_matches(lower(object_text), '{p}') THEN '{i}'" for p, i in _RULES) + " END AS endpoint FROM edges_relations")
-def k7(spark, sf):
-    return table(spark, sf, "edges_relations").select("rel_id", graph.endpoint(F.col("object_text"), _RULES).alias("endpoint"))
-
-
 def _pagerank_sql(k: int) -> str:
     out = "e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL), n AS (SELECT s AS id FROM e UNION SELECT t FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM n), d AS (SELECT s AS id, count(*) AS deg FROM e GROUP BY s), r0 AS (SELECT n.id, d.deg, 1.0 / c.n AS score FROM n LEFT JOIN d USING (id) CROSS JOIN c)"
     for i in range(k):
@@ -418,24 +413,50 @@ def l3(spark, sf):
     return graph.score_stats(_scores(spark, sf)).select("n", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean", "median", "sd", "threshold")])
 
 
-@query("l5_significant", f"WITH {_DEG} SELECT is_significant, count(*) AS n FROM rk GROUP BY 1")
+_PR = f"{_pagerank_sql(5)}, sc AS (SELECT id, score FROM r5), st AS (SELECT count(*) AS n, avg(score) + 0.5 * stddev_samp(score) AS a, 0.3 * max(score) AS b FROM sc), rk AS (SELECT sc.id, sc.score, sc.score >= CASE WHEN n > 10 THEN a ELSE b END AS is_significant FROM sc, st)"
+_NODES = "gl AS (SELECT 'ENT_' || canonical_name AS id, arg_min(entity_type, global_id) AS label FROM global_entities WHERE canonical_name IS NOT NULL GROUP BY 1), nd AS (SELECT id, CASE WHEN starts_with(id, 'ENT_') THEN 'Entity' WHEN starts_with(id, 'LOC_') THEN 'Location' ELSE 'Event' END AS type, replace(regexp_replace(id, '^[A-Z]+_', ''), '_', ' ') AS text, label FROM (SELECT source_id AS id FROM graph_edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL) LEFT JOIN gl USING (id))"
+
+
+def _ranks(spark, sf):
+    return graph.pagerank(table(spark, sf, "graph_edges"), iterations=5)
+
+
+def _nodes(spark, sf):
+    e, g = table(spark, sf, "graph_edges"), table(spark, sf, "global_entities").where("canonical_name is not null")
+    labels = g.select(F.concat(F.lit("ENT_"), "canonical_name").alias("id"), "entity_type", "global_id").groupBy("id").agg(F.min_by("entity_type", "global_id").alias("label"))
+    ids = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).where("id is not null").distinct()
+    kind = F.when(F.col("id").startswith("ENT_"), "Entity").when(F.col("id").startswith("LOC_"), "Location").otherwise("Event")
+    return ids.join(labels, "id", "left").select("id", kind.alias("type"), F.replace(F.regexp_replace("id", "^[A-Z]+_", ""), F.lit("_"), F.lit(" ")).alias("text"), "label")
+
+
+@query("l5_ranked", f"WITH {_PR}, {_NODES} SELECT id, round(score * (SELECT n FROM st), 6) AS score, is_significant, coalesce(text, 'Unknown') AS text, coalesce(label, 'Unknown') AS label FROM rk LEFT JOIN nd USING (id)")
 def l5(spark, sf):
-    return graph.ranked(_scores(spark, sf)).groupBy("is_significant").agg(F.count("*").alias("n"))
+    s = _ranks(spark, sf)
+    r = graph.ranked(s, _nodes(spark, sf)).crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))  # one row
+    return r.select("id", F.round(F.col("score") * F.col("n"), 6).alias("score"), "is_significant", "text", "label")
 
 
-@query("l6_view", f"WITH {_DEG} SELECT id, round(score, 9) AS score FROM rk WHERE starts_with(id, 'LOC_') AND is_significant ORDER BY score DESC, id LIMIT 25")
+@query("l6_view", f"WITH {_PR}, {_NODES} SELECT id, type, label, text FROM nd JOIN rk USING (id) WHERE type IN ('Entity', 'Location') AND label IN ('PERSON', 'ORG') AND is_significant AND score >= 1e-9 ORDER BY round(score, 15) DESC, id LIMIT 25")
 def l6(spark, sf):
-    return graph.view(_scores(spark, sf), table(spark, sf, "graph_edges"), "LOC_", 25).select("id", F.round("score", 9).alias("score"))
+    s = _ranks(spark, sf).withColumn("score", F.round("score", 15))
+    return graph.view(s, _nodes(spark, sf), table(spark, sf, "graph_edges"), types=["Entity", "Location"], labels=["PERSON", "ORG"], significant=True, min_score=1e-9, top=25).select("id", "type", "label", "text")
+
+
+@query("l6_around", f"WITH {_NODES}, nb AS (SELECT 'LOC_command_post' AS id UNION SELECT source_id FROM graph_edges WHERE target_id = 'LOC_command_post' UNION SELECT target_id FROM graph_edges WHERE source_id = 'LOC_command_post') SELECT id, type, label, text FROM nd WHERE id IN (SELECT id FROM nb)")
+def l6b(spark, sf):
+    e = table(spark, sf, "graph_edges")
+    return graph.view(graph.degree_centrality(e), _nodes(spark, sf), e, around="LOC_command_post").select("id", "type", "label", "text")
 
 
-@query("l7_induced", f"WITH {_DEG}, s AS (SELECT id FROM rk WHERE is_significant) SELECT edge_id FROM graph_edges WHERE source_id IN (SELECT id FROM s) AND target_id IN (SELECT id FROM s)")
+@query("l7_induced", f"WITH {_PR}, s AS (SELECT id FROM rk WHERE is_significant) SELECT edge_id FROM graph_edges WHERE source_id IN (SELECT id FROM s) AND target_id IN (SELECT id FROM s)")
 def l7(spark, sf):
-    return graph.induced(table(spark, sf, "graph_edges"), graph.ranked(_scores(spark, sf)).where("is_significant")).select("edge_id")
+    return graph.induced(table(spark, sf, "graph_edges"), graph.ranked(_ranks(spark, sf)).where("is_significant")).select("edge_id")
 
 
 @query("l8_neighbourhood", "SELECT DISTINCT * FROM (SELECT target_id AS id, 'out' AS direction FROM graph_edges WHERE source_id = 'LOC_command_post' UNION ALL SELECT source_id, 'in' FROM graph_edges WHERE target_id = 'LOC_command_post') WHERE id IS NOT NULL")
 def l8(spark, sf):
-    return graph.neighbourhood(table(spark, sf, "graph_edges"), "LOC_command_post")
+    nodes = _nodes(spark, sf).withColumn("ord", F.col("id"))
+    return graph.neighbourhood(table(spark, sf, "graph_edges"), graph.find_node(nodes.where("type = 'Location'"), "Command Post"))
 
 
 @query("m2_edge_dedupe", "SELECT source_id, target_id, edge_type, min(edge_id) AS edge_id, arg_min(case_id, edge_id) AS case_id FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND edge_type IS NOT NULL GROUP BY source_id, target_id, edge_type")
@@ -461,9 +482,14 @@ def n3(spark, sf):
     return quality.malformed(table(spark, sf, "entities"), table(spark, sf, "edges_relations"), table(spark, sf, "case_events"))
 
 
-@query("n5_edge_types", "SELECT edge_type AS value, count(*) AS n FROM graph_edges GROUP BY 1")
+@query("n5_edge_types", "WITH h AS (SELECT edge_type AS value, count(*) AS n FROM graph_edges GROUP BY 1) SELECT 'type' AS part, value, n FROM h UNION ALL SELECT 'total', NULL, sum(n) FROM h UNION ALL SELECT 'types', NULL, count(*) FROM h UNION ALL (SELECT 'top', value, n FROM h ORDER BY n DESC, value NULLS FIRST LIMIT 10)")
 def n5(spark, sf):
-    return quality.histogram(table(spark, sf, "graph_edges"), "edge_type")
+    return quality.categories(table(spark, sf, "graph_edges"), "edge_type")
+
+
+@query("n8_sample_entities", "SELECT id, entity_name, entity_type FROM entities ORDER BY id LIMIT 20")
+def n8(spark, sf):
+    return quality.first_rows(table(spark, sf, "entities"), "id", 20).select("id", "entity_name", "entity_type")
 
 
 @query("n6_entity_types", "SELECT entity_type AS value, count(*) AS n FROM entities GROUP BY 1")
@@ -471,9 +497,9 @@ def n6(spark, sf):
     return quality.histogram(table(spark, sf, "entities"), "entity_type")
 
 
-@query("n7_top_nodes", f"WITH {_DEG} SELECT id, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, id LIMIT 10")
+@query("n7_top_nodes", f"WITH {_PR}, {_NODES} SELECT id, coalesce(text, 'Unknown') AS text FROM rk LEFT JOIN nd USING (id) ORDER BY round(score, 15) DESC, id LIMIT 10")
 def n7(spark, sf):
-    return _scores(spark, sf).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 9).alias("score"))
+    return graph.ranked(_ranks(spark, sf), _nodes(spark, sf)).orderBy(F.desc(F.round("score", 15)), "id").limit(10).select("id", "text")
 
 
 @query("r1_orphans", "SELECT 'entities.global_id' AS key, count(*) AS n FROM entities WHERE global_id IS NOT NULL AND global_id NOT IN (SELECT global_id FROM global_entities) UNION ALL SELECT 'edges_relations.subject_id', count(*) FROM edges_relations WHERE subject_id IS NOT NULL AND subject_id NOT IN (SELECT id FROM entities) UNION ALL SELECT 'edges_relations.object_id', count(*) FROM edges_relations WHERE object_id IS NOT NULL AND object_id NOT IN (SELECT id FROM entities)")
@@ -488,21 +514,11 @@ _PAGES = f"""pg AS (SELECT doc_id AS page_id, source AS site, coalesce(list_filt
 _KW = rf"""w AS (SELECT site, page_id, unnest(range(0, len(ws))) AS pos, ws FROM (SELECT site, page_id, string_split({sql_squeeze('text')}, ' ') AS ws FROM pg)), x AS (SELECT site, page_id, pos, ws[pos + 1] AS t FROM w), k AS (SELECT site, lower(t) AS word, count(*) AS n, min(page_id * 1000000 + pos) AS f FROM x WHERE regexp_matches(t, '^\p{{L}}+$') AND length(t) > 3 GROUP BY ALL), kw AS (SELECT site, word, n, row_number() OVER (PARTITION BY site ORDER BY n DESC, f) AS rank FROM k)"""
 
 
-@query("o2_pages", f"WITH {_PAGES} SELECT page_id, site, title, word_count, token_estimate FROM pg")
-def o2(spark, sf):
-    return web.pages(table(spark, sf, "documents")).select("page_id", "site", "title", "word_count", "token_estimate")
-
-
 @query("o5_keywords", f"WITH {_PAGES}, {_KW} SELECT site, word, n, rank FROM kw WHERE rank <= 12")
 def o5(spark, sf):
     return web.keywords(web.pages(table(spark, sf, "documents")))
 
 
-@query("o6_calls_to_action", f"WITH {_PAGES} SELECT site, label, count(*) AS n FROM (SELECT site, unnest(labels) AS label FROM pg) WHERE regexp_matches(lower(label), '{fixed.CALLS_TO_ACTION}') GROUP BY ALL")
-def o6(spark, sf):
-    return web.calls_to_action(web.pages(table(spark, sf, "documents")))
-
-
 @query("o7_site_tokens", f"WITH {_PAGES} SELECT site, count(*) AS pages, sum(token_estimate)::BIGINT AS tokens FROM pg GROUP BY site")
 def o7(spark, sf):
     return web.pages(table(spark, sf, "documents")).groupBy("site").agg(F.count("*").alias("pages"), F.sum("token_estimate").alias("tokens"))
@@ -513,22 +529,6 @@ def o8(spark, sf):
     return web.budgeted(web.pages(table(spark, sf, "documents")), 4000)
 
 
-@query("o1_frontier")
-def o1(spark, sf):
-    e = table(spark, sf, "graph_edges").where("source_id is not null and target_id is not null")
-    links = e.select(F.col("source_id").alias("src"), F.col("edge_id").alias("pos"), F.col("target_id").alias("dst")).unionAll(e.select(F.col("target_id"), F.col("edge_id"), F.col("source_id")))
-    return web.frontier(links, "LOC_command_post", 50)
-
-
-@query("q6_site_summary", f"""WITH {_PAGES}, {_KW}, n AS (SELECT site, count(*) AS n FROM pg GROUP BY site) SELECT site, section, idx::BIGINT AS idx, line FROM (
-    SELECT site, 'overview' AS section, 1 AS idx, 'Crawled ' || n || ' page(s) from ' || site || '. LLM output unavailable (no provider); showing crawler-derived summary.' AS line FROM n
-    UNION ALL SELECT site, 'key_sections', idx, title || ': ' || word_count || ' words (status 200)' FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS idx FROM pg) WHERE idx <= 3
-    UNION ALL SELECT site, 'highlights', 1, 'Top keywords: ' || string_agg(word, ', ' ORDER BY rank) FROM kw WHERE rank <= 6 GROUP BY site
-    UNION ALL SELECT site, 'recommendations', unnest([1, 2]), unnest(['{q(fixed.RECOMMENDATIONS[0])}', '{q(fixed.RECOMMENDATIONS[1])}']) FROM n)""")
-def q6(spark, sf):
-    return web.site_summary(web.pages(table(spark, sf, "documents")), "no provider")
-
-
 @query("q1_prompts", rf"""WITH {_PAGES} SELECT page_id, 'Summarise this page.' || chr(10) || 'Title: ' || title || chr(10) || 'URL: https://' || replace(site, '_', '-') || '.example/' || page_id || chr(10) || chr(10) ||
     CASE WHEN token_estimate <= 200 THEN {sql_squeeze('text')} ELSE array_to_string(string_split({sql_squeeze('text')}, ' ')[1:greatest(1, floor(200.0 / token_estimate * word_count))::INT], ' ') || '...' END AS prompt FROM pg""")
 def q1(spark, sf):
@@ -552,7 +552,7 @@ def b16(spark, sf):
     return table(spark, sf, "documents").where("title is not null").select("doc_id", F.regexp_replace(F.substring("title", 1, 30), "[^A-Za-z0-9]+", "-").alias("file"))
 
 
-_KEYS = ["speakers", "topics_discussed", "key_points", "decisions", "decisions_made", "next_steps", "error_info", "content_stats", "takeaways", "other_section"]
+_KEYS = [*fixed.SECTION_TITLES, "other_section", "plain"]
 
 
 @query("b17_section_titles", f"SELECT k AS key, CASE k {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in fixed.SECTION_TITLES.items())} ELSE array_to_string(list_transform(string_split(k, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS title FROM (SELECT unnest({_KEYS}) AS k)")
@@ -586,35 +586,21 @@ def k10(spark, sf):
     events = table(spark, sf, "case_events")
     e = table(spark, sf, "entities").where("trim(entity_name) != ''").select(F.lit("Entity").alias("type"), text.entity_id(F.col("entity_name")).alias("id"))
     v = events.where("event_id is not null").select(F.lit("Event").alias("type"), F.col("event_id").alias("id"))
-    loc = ev.locations(events).select(F.lit("Location").alias("type"), text.entity_id(F.col("location"), "LOC_").alias("id"))
+    loc = ev.locations(events, table(spark, sf, "entities")).select(F.lit("Location").alias("type"), text.entity_id(F.col("location"), "LOC_").alias("id"))
     t = _timed(spark, sf).where("time_resolved is not null").select(F.lit("Time").alias("type"), text.time_id(F.col("time_resolved")).alias("id"))
     return e.unionByName(v).unionByName(loc).unionByName(t).distinct().groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("o3_link_kinds", "WITH l AS (" + SQL["b14_links"] + ") SELECT link IS NULL AS dropped, count(*) AS n, count(*) FILTER (contains(link, '://other.') OR contains(link, '://cdn.')) AS n_external FROM l GROUP BY 1")
-def o3(spark, sf):
-    base = F.concat(F.lit("https://"), F.replace("source", F.lit("_"), F.lit("-")), F.lit(".example"))
-    d = table(spark, sf, "documents").where("source is not null").select(base.alias("base"), F.explode(F.array(*[F.expr(x) for x in _LINKS])).alias("href")).withColumn("link", text.absolute_link(F.col("href"), F.col("base")))
-    outside = F.parse_url("link", F.lit("AUTHORITY")) != F.parse_url("base", F.lit("AUTHORITY"))
-    return d.groupBy(F.col("link").isNull().alias("dropped")).agg(F.count("*").alias("n"), F.count_if(outside).alias("n_external"))
-
-
-@query("o4_site_analysis", f"WITH {_PAGES} SELECT site, count(*) AS total_pages, sum(word_count)::BIGINT AS words, sum(token_estimate)::BIGINT AS tokens, sum(len(labels))::BIGINT AS labels, count(DISTINCT title) AS titles FROM pg GROUP BY site")
-def o4(spark, sf):
-    p = web.pages(table(spark, sf, "documents"))
-    return p.groupBy("site").agg(F.count("*").alias("total_pages"), F.sum("word_count").alias("words"), F.sum("token_estimate").alias("tokens"), F.sum(F.size("labels")).cast("bigint").alias("labels"), F.count_distinct("title").alias("titles"))
+@query("n9_report", f"""WITH {_PR}, {_NODES} SELECT 'graph_statistics' AS section, 'total_nodes' AS key, count(*)::DOUBLE AS value FROM nd UNION ALL SELECT 'graph_statistics', 'total_edges', count(*) FROM graph_edges UNION ALL SELECT 'node_types', type, count(*) FROM nd GROUP BY ALL UNION ALL SELECT 'entity_labels', coalesce(label, 'unknown'), count(*) FROM nd WHERE type = 'Entity' GROUP BY ALL
+    UNION ALL SELECT 'pagerank', 'significant_nodes', count(*) FROM rk WHERE is_significant UNION ALL SELECT 'pagerank', k, round(v * n, 4) FROM (SELECT unnest(['min', 'max', 'mean', 'median']) AS k, unnest([min(score), max(score), avg(score), median(score)]) AS v, count(*) AS n FROM sc)
+    UNION ALL SELECT 'relation_analysis', 'total_relations', count(*) FROM graph_edges UNION ALL SELECT 'relation_analysis', 'unique_relation_types', count(DISTINCT coalesce(edge_type, 'unknown')) FROM graph_edges UNION ALL SELECT 'case_information', 'documents', count(*) FROM documents""")
+def n9(spark, sf):
+    return quality.report(_nodes(spark, sf), table(spark, sf, "graph_edges"), _ranks(spark, sf), table(spark, sf, "documents"))
 
 
-@query("n9_metrics", "SELECT 'entities' AS metric, count(*) AS value FROM entities UNION ALL SELECT 'relations', count(*) FROM edges_relations UNION ALL SELECT 'events', count(*) FROM case_events UNION ALL SELECT 'edges', count(*) FROM graph_edges UNION ALL SELECT 'edge types', count(DISTINCT edge_type) FROM graph_edges UNION ALL SELECT 'connected nodes', count(*) FROM (SELECT source_id FROM graph_edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL)")
-def n9(spark, sf):
-    g = table(spark, sf, "graph_edges")
-    n = lambda name, df: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
-    ends = g.select(F.col("source_id").alias("id")).union(g.select("target_id")).where("id is not null").distinct()
-    parts = [n("entities", table(spark, sf, "entities")), n("relations", table(spark, sf, "edges_relations")), n("events", table(spark, sf, "case_events")), n("edges", g), g.agg(F.lit("edge types").alias("metric"), F.count_distinct("edge_type").alias("value")), n("connected nodes", ends)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+@query("b3_tight_abbreviations", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bR/O\b', 'Reporting Officer', 'g'), '\bR/Os\b', 'Reporting Officers', 'g'), '\bR/I\b', 'Reporting Investigator', 'g'), '\bR/Is\b', 'Reporting Investigators', 'g'), '\bCSU\b', 'Crime Scene Unit', 'g'), '\bETA\b', 'Estimated Time of Arrival', 'g') AS expanded FROM documents WHERE text IS NOT NULL")
+def b3(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", text.expand_tight(F.col("text")).alias("expanded"))
 
 
 @query("l2_eigenvector")

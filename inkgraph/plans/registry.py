@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.plans import case, core, times  # noqa: F401  (case registers its queries in core)
+from inkgraph.plans import case, core, pages, times  # noqa: F401  (case and pages register their queries in core)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -60,20 +60,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set where it is not."""
+    """The checkpoint folder of the session, set where it is not; off local mode a session must name one that all machines share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkgraph-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
     """Cut the lineage, and with it the size estimates, by a table written to the shared checkpoint folder.
 
     A checkpoint hands on the plan's estimated size; in a loop of joins those estimates multiply round by round until
-    the numbers themselves fill the driver.  A table read back has the size that it has.
+    the numbers themselves fill the driver.  A table read back has the size that it has.  ``over``: a table of an earlier
+    round that nothing needs any more; its files go.
     """
-    path = f"{_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if (old := getattr(over, "_written", None)) is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    out = spark.read.parquet(path)
+    out._written = path
+    return out
