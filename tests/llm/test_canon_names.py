@@ -79,6 +79,6 @@ def test_link_variants(spark):
     assert got == want
     assert names.find(e.limit(0), g.limit(0)).count() == 0
     of = {(r.src, r.row_id): (r.class_id, r.n_rows) for r in names.classes(e, g).collect()}
-    assert of["entities", n] == (1, n) and of["global_entities", 2] == (1, 2) and len({c for (src, _), (c, _) in of.items() if src == "entities"}) == 4
+    assert of["entities", n] == (1, n) and of["global_entities", 2] == (1, 2) and len({c for (src, _), (c, _) in of.items() if src == "entities"}) == 5
     lone = names.parse("Velmar")
     assert lone[0] == "glued" and names.cost({**names.fields("Velmar"), "first_n": 1, "last_n": 1}, {**names.fields("Tom Velmar"), "first_n": 1, "last_n": 1}) < 3 < names.cost({**names.fields("Velmer"), "first_n": 1, "last_n": 1}, {**names.fields("Tom Velmar"), "first_n": 1, "last_n": 1})
