@@ -31,9 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.canon import clipped, edit
+from inkgraph.llm import canon
+from inkgraph.llm.canon import clipped
 from inkgraph.session import cut
 
+edit = lru_cache(maxsize=500_000)(canon.edit)  # names are made of few parts
+
 #: Short forms of English given names in common use (fixed values): given name -> short forms.
 NICKNAMES = {
     "abigail": "abby gail abbie", "alexandra": "alex sandra lexi sasha alexa", "benjamin": "ben benny benji", "christopher": "chris kit topher", "deborah": "deb debbie debby", "dominic": "dom nick nico",
@@ -251,6 +254,12 @@ def fields(name: str) -> dict:
     return dict(zip(("kind", "first", "middle", "last", "suffix", "tight", "parts", "acronym", "hint"), parse(name), strict=True))
 
 
+@lru_cache(maxsize=200_000)
+def key_sets(name: str) -> tuple[frozenset[str], frozenset[str]]:
+    ask, found = keys(parse(name))
+    return frozenset(ask), frozenset(found)
+
+
 def spellings(mentions: DataFrame) -> DataFrame:
     """(case_id, name, ask, found, full, first_n, last_n, good): the distinct spellings of rows (case_id, name, type).
 
@@ -292,18 +301,17 @@ def attach(s: DataFrame) -> DataFrame:
     q = s.select("case_id", F.explode("ask").alias("key"), F.col("name").alias("q"), F.col("first_n").alias("q_first"), F.col("last_n").alias("q_last"), F.col("good").alias("q_good"))
     c = s.where("full").select("case_id", F.explode("found").alias("key"), F.col("name").alias("c"), F.col("first_n").alias("c_first"), F.col("last_n").alias("c_last"), F.col("good").alias("c_good"))
     above = (F.col("c_good") > F.col("q_good")) | ((F.col("c_good") == F.col("q_good")) & (F.col("c") < F.col("q")))
-    pairs = q.join(c, ["case_id", "key"]).where(above).drop("key")
+    pairs = q.join(c, ["case_id", "key"]).where(above)
 
     @F.pandas_udf("double")
-    def channel(q: pd.Series, qf: pd.Series, ql: pd.Series, c: pd.Series, cf: pd.Series, cl: pd.Series) -> pd.Series:
-        memo: dict[tuple[str, str], float] = {}  # the counts belong to the spellings
-        for a, af, al, b, bf, bl in zip(q, qf, ql, c, cf, cl, strict=True):
-            if (a, b) not in memo:
-                memo[a, b] = cost({**fields(a), "first_n": af, "last_n": al}, {**fields(b), "first_n": bf, "last_n": bl})
-        return pd.Series([memo[x] for x in zip(q, c, strict=True)], dtype="float64")
-
-    # a pair that meets under several keys is judged under each: that costs less than a shuffle of all pairs to make them distinct
-    scored = pairs.withColumn("cost", channel("q", "q_first", "q_last", "c", "c_first", "c_last")).where("cost <= 3")
+    def channel(key: pd.Series, q: pd.Series, qf: pd.Series, ql: pd.Series, c: pd.Series, cf: pd.Series, cl: pd.Series) -> pd.Series:
+        out = []
+        for k, a, af, al, b, bf, bl in zip(key, q, qf, ql, c, cf, cl, strict=True):
+            # a pair that meets under several keys is judged under the first of them, which needs no shuffle to make pairs distinct
+            out.append(cost({**fields(a), "first_n": af, "last_n": al}, {**fields(b), "first_n": bf, "last_n": bl}) if k == min(key_sets(a)[0] & key_sets(b)[1]) else 9.0)
+        return pd.Series(out, dtype="float64")
+
+    scored = pairs.withColumn("cost", channel("key", "q", "q_first", "q_last", "c", "c_first", "c_last")).where("cost <= 3")
     best = scored.groupBy("case_id", F.col("q").alias("name")).agg(F.max_by("c", F.struct(F.col("c_good") / 10 - 3 * F.col("cost"), F.col("c"))).alias("parent"))
     links = cut(s.select("case_id", "name").join(best, ["case_id", "name"], "left").withColumn("parent", F.coalesce("parent", "name")))
     while True:  # pointer jumping: the forest's depth halves each time
