@@ -8,7 +8,7 @@ assignment over edit distances.  A label that fits a person of another transcrip
 on the list.  Lexical noise (hesitations, sound notes, stutters) is stripped, turns are put in time order, turns without
 words drop out and neighbouring turns of one speaker are joined.
 
-Scale.  Parsing is a projection over Arrow batches.  Cross-transcript candidates are an equi-join on (case, phonetic key)
+Scale.  Parsing is one projection over Arrow batches whose result is cut and read by all that follows.  Cross-transcript candidates are an equi-join on (case, phonetic key)
 of the *unsettled* labels with distinct listed persons, pre-aggregated on both sides, so a hot case meets only within its
 phonetic blocks and only the best distance leaves the join.  Turn numbers are windows over one transcript, whose size is
 that of a document.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgraph.llm.canon import edit
+from inkgraph.session import cut
 
 TITLES = frozenset("""mr mrs ms miss mx dr prof officer ofc off deputy dep sheriff sergeant sgt detective det inspector insp lieutenant lt captain capt cpt chief
 corporal cpl trooper agent major maj colonel col constable const commander cmdr investigator inv ro ri judge hon rev herr frau hr fr sr sra señor señora m mme""".split())
@@ -357,51 +358,39 @@ def raw_turns(text: str) -> tuple[list[str], dict[str, str], list[tuple[float |
     return roster, letters, [tuple(t) for t in turns]
 
 
-def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Unsettled labels of each transcript with their phonetic keys and the distance to the best person of its roster."""
-    for pdf in batches:
-        rows = []
-        for key, case, t in zip(pdf["id"], pdf["case_id"], pdf["text"], strict=True):
-            roster, letters, turns = raw_turns(t)
-            own = [x for x in dict.fromkeys(label for _, label, _ in turns) if x not in letters]
-            for label, (line, d) in assign(own, roster).items():
-                if line is not None and d > 0:
-                    rows.append((key, case, label, d, sorted(sounds(label))))
-        yield pd.DataFrame(rows, columns=["id", "case_id", "label", "d", "keys"])
+PARSED = "id bigint, case_id string, turns array<struct<at:double,n:int,label:string,speaker:string,words:string>>, labels array<struct<label:string,d:double,keys:array<string>>>, roster array<struct<line:string,keys:array<string>>>"
+
 
+def parse(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(turns, unsettled labels, roster) of a transcript.
 
-def _rosters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Turns: (second, number, label, speaker, words), those without words left out; labels: those whose best person of the
+    roster is not spelt so, with the distance and their phonetic keys; roster: persons with their phonetic keys.
+    """
+    roster, letters, written = raw_turns(text)
+    table = assign(list(dict.fromkeys(label for _, label, _ in written)), roster)
+    turns, last = [], -1.0
+    for n, (stamp, label, said) in enumerate(written):
+        last = stamp if stamp is not None else last
+        words = clean(said)
+        if has_words(words):
+            turns.append((last, n, label, letters.get(label) or table[label][0] or "unknown", words))
+    labels = [(label, d, sorted(sounds(label))) for label, (line, d) in table.items() if line is not None and d > 0 and label not in letters]
+    return turns, labels, [(line, sorted({sound(w) for w in person(line)[0] if len(w) > 2} - {""})) for line in roster]
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for case, t in zip(pdf["case_id"], pdf["text"], strict=True):
-            for line in roster_of(t)[0]:
-                rows += [(case, line, k) for k in {sound(w) for w in person(line)[0] if len(w) > 2} - {""}]
-        yield pd.DataFrame(rows, columns=["case_id", "line", "key"])
+        rows = [(key, case, *parse(t)) for key, case, t in zip(pdf["id"], pdf["case_id"], pdf["text"], strict=True)]
+        yield pd.DataFrame(rows, columns=["id", "case_id", "turns", "labels", "roster"])
 
 
-def _turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, t in zip(pdf["id"], pdf["text"], strict=True):
-            roster, letters, turns = raw_turns(t)
-            table = assign(list(dict.fromkeys(label for _, label, _ in turns)), roster)
-            last = -1.0
-            for n, (stamp, label, said) in enumerate(turns):
-                last = stamp if stamp is not None else last
-                words = clean(said)
-                if has_words(words):
-                    speaker = letters.get(label) or table[label][0] or "unknown"
-                    rows.append((key, last, n, label, speaker, words))
-        yield pd.DataFrame(rows, columns=["id", "at", "n", "label", "speaker", "words"])
-
-
-def strangers(src: DataFrame) -> DataFrame:
+def strangers(parsed: DataFrame) -> DataFrame:
     """(id, label) of labels that fit a person of another roster of the case better than any of their own."""
-    labels = src.mapInPandas(_labels, "id bigint, case_id string, label string, d double, keys array<string>")
-    persons = src.mapInPandas(_rosters, "case_id string, line string, key string").distinct()
-    blocks = labels.select("id", "case_id", "label", "d", F.explode("keys").alias("key"))
-    # labels of many transcripts are compared once: the same spelling meets a block once a case
-    once = blocks.select("case_id", "label", "key").distinct()
+    labels = parsed.select("id", "case_id", F.inline("labels"))
+    # labels and persons of many transcripts are compared once: the same spelling meets a block once a case
+    persons = parsed.select("case_id", F.inline("roster")).select("case_id", "line", F.explode("keys").alias("key")).distinct()
+    once = labels.select("case_id", "label", F.explode("keys").alias("key")).distinct()
 
     @F.pandas_udf("double")
     def fits(label: pd.Series, line: pd.Series) -> pd.Series:
@@ -414,8 +403,9 @@ def strangers(src: DataFrame) -> DataFrame:
 def speaker_turns(interviews: DataFrame, key: str = "id", case: str = "case_id", text: str = "interview_text") -> DataFrame:
     """(id, turn_no, speaker, turn_text) of each clean turn, in the order spoken."""
     src = interviews.select(F.col(key).alias("id"), F.col(case).cast("string").alias("case_id"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
-    turns = src.mapInPandas(_turns, "id bigint, at double, n int, label string, speaker string, words string")
-    odd = strangers(src).withColumn("odd", F.lit(True))
+    parsed = cut(src.mapInPandas(_parse, PARSED))  # the texts are parsed once; turns, labels and rosters are taken from that
+    turns = parsed.select("id", F.inline("turns"))
+    odd = strangers(parsed).withColumn("odd", F.lit(True))
     turns = turns.join(odd, ["id", "label"], "left").withColumn("speaker", F.when(F.col("odd"), "unknown").otherwise(F.col("speaker")))
     w = Window.partitionBy("id").orderBy("at", "n")
     turns = turns.withColumn("new", (F.lag("speaker").over(w).isNull() | (F.lag("speaker").over(w) != F.col("speaker"))).cast("int"))
