@@ -156,23 +156,48 @@ def skeleton(s: str) -> str:
     return re.sub(r"[aeiou]", "", s)
 
 
+@lru_cache(maxsize=200_000)
+def letters(s: str) -> int:
+    """The set of letters as bits; strings at edit distance d differ in at most 2 d letters."""
+    m = 0
+    for c in s:
+        m |= 1 << (ord(c) & 63)
+    return m
+
+
 def edit(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions of neighbours; ``most + 1`` when it is larger than ``most``."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most or (letters(a) ^ letters(b)).bit_count() > 2 * most:
         return most + 1
+    lo, n = 0, min(len(a), len(b))
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if not a or not b:
+        d = len(a) or len(b)
+        return min(d, most + 1)
     two: list[int] = []
     one = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
         for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, now[j - 1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
+            d = one[j - 1] + (x != y)
+            if one[j] < d:
+                d = one[j] + 1
+            if now[j - 1] < d:
+                d = now[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and two[j - 2] < d:
+                d = two[j - 2] + 1
             now.append(d)
         if min(now) > most:
             return most + 1
         two, one = one, now
-    return one[-1]
+    return min(one[-1], most + 1)
 
 
 def clipped(token: str, full: str) -> bool:
