@@ -6,7 +6,8 @@ left); candidates are judged by a weighted edit distance in which confusions of
 ligatures ...) cost little, and by how much more often the corpus says the candidate; where several remain, the words
 before decide (bigram context).  Words cut at a line end are rejoined unless the corpus knows the compound with its
 hyphen.  Running headers are short title-like lines that come back on two or more pages, page numbers are lines of their
-own; both go, and the lines are joined into paragraphs.
+own; bare numbers below each other or below a line that announces them are a list.  Both go, and the lines are joined
+into paragraphs.
 
 Scale.  Words are counted per Arrow batch before the shuffle.  The delete index is joined on distinct words only.  The
 texts are then passed once more; only words that are not among the ``COMMON`` most frequent clean words leave that pass
@@ -15,7 +16,8 @@ are joined with the damaged words.  No text is shuffled for the finding, nothing
 
 Edge cases: null and blank texts have no damage; hard line ends and the text's own heading are none; a header on one page
 only is none; a hyphen of a compound that the corpus writes with it is none; words of scripts without case take part in
-the lexicon as they stand; repeated rows are judged alike; very long texts are read whole.
+the lexicon as they stand; repeated rows are judged alike; very long texts are read whole.  By definition a word that may be
+misread has 2 to ``LONGEST`` characters (of two, one must be a digit or sign), a running header 4 to 70.
 """
 
 from __future__ import annotations
@@ -33,12 +35,16 @@ from inkgraph.llm.canon import edit
 from inkgraph.session import cut
 
 COMMON = 50_000
+#: Characters of the longest word that is judged as one; what runs on longer is a line of a script without spaces or an address.
+LONGEST = 32
 EDGE = " \t.,;:?\"'()[]{}<>“”„‘’«»‹›…–—-*#/\\¿¡。，、？！：；（）「」"
 ODD = re.compile(r"[0-9@!|ſﬁﬂ]")
 HYPHEN = re.compile(r"[-‐¬­]\n[^\S\n]*")
 LEFT = re.compile(r"[^\W\d_][\w’'@!|$]*$")
 RIGHT = re.compile(r"[^\W\d_][\w’'@!|$]*")
-PAGENO = re.compile(r"[-–—\[(|·•~\s]*(?:p(?:a[gq][ec]|[gq]|\.)?[.\s]*)?[0-9OolI]{1,3}(?:\s*(?:of|/|[0o]f)\s*[0-9OolI]{1,3})?[-–—\])|·•~\s]*", re.I)
+#: Lines of a page number: bare, or behind the word for a page in the languages of the corpus, with the number of pages.
+PAGENO = re.compile(r"[-–—\[(|·•~\s]*(?:(?:p(?:a[gq][ec]|[gq]|[áa]g(?:ina)?|\.)?|seite|стр(?:аница)?|صفحة|पृष्ठ|หน้า|第)[.\s]*)?[0-9OolI]{1,3}(?:\s*(?:of|/|[0o]f|von|de|из)\s*[0-9OolI]{1,3})?\s*(?:页|頁|ページ)?[-–—\])|·•~\s]*", re.I)
+BARE = re.compile(r"\d{1,3}")
 TERMINAL = tuple(".!?…”»。！？।؟,;:—–-")
 
 #: Shapes that a reader confuses: misread -> read (lower case).
@@ -48,6 +54,7 @@ CONFUSIONS: dict[str, tuple[str, ...]] = {
 }
 
 
+WIDE = re.compile(r"[぀-ヿ一-鿿]")  # scripts without case whose sentences have end marks
 HEAD_WORD = re.compile(r"[^\W_][\w’'ſ!@|$]*")
 
 
@@ -65,10 +72,10 @@ def words_of(text: str) -> list[str]:
     """Words of a text (folded) that may be misread or be what others are misread from."""
     out = []
     for raw in text.split():
-        if len(raw) < 3 or raw.isdigit():
+        if len(raw) < 2 or raw.isdigit():
             continue
         w = clean_token(raw)
-        if 3 <= len(w) <= 32 and any(c.isalpha() for c in w):
+        if 2 <= len(w) <= LONGEST and any(c.isalpha() for c in w):
             out.append(w.lower())
     return out
 
@@ -95,7 +102,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def deletes(w: str) -> list[str]:
-    """A word with one letter, or two neighbouring ones, left out, and the word itself."""
+    """A word with one letter, or two neighbouring ones, left out, and the word itself; of two letters, one as a blank."""
+    if len(w) == 2:
+        return [w, w[0] + "_", "_" + w[1]]
     out = {w}
     for i in range(len(w)):
         out.add(w[:i] + w[i + 1 :])
@@ -134,7 +143,7 @@ def is_candidate_pair(word: str, n: int, true: str, m: int) -> bool:
         return False
     odd = ODD.search(word) is not None
     if odd:
-        return m >= n
+        return m >= (n if len(word) > 2 else 20 * n)  # short codes are as likely as short words
     if len(word) < 4 and len(true) < 4:
         return False
     return m >= max(3, (8 if cost <= 0.5 else 20) * n)
@@ -180,6 +189,10 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     """(lines with a page number, lines of running headers) by index."""
     bare = [x.strip() for x in lines]
     numbers = {i for i, x in enumerate(bare) if x and len(x) <= 24 and PAGENO.fullmatch(x) and any(c.isdigit() for c in x)}
+    # bare numbers below each other, or below a line that announces them, are a list
+    told = [i for i, x in enumerate(bare) if x]
+    listed = {k for a, b in zip(told, told[1:], strict=False) for k in (a, b) if BARE.fullmatch(bare[b]) and (BARE.fullmatch(bare[a]) or bare[a].endswith((":", "："))) and BARE.fullmatch(bare[k])}
+    numbers -= listed
     short = [(i, x) for i, x in enumerate(bare) if 4 <= len(x) <= 70 and x[0] not in "#“«\"•*[" and not x[0].islower() and not x.endswith(TERMINAL) and i not in numbers]
     heads, tails = Counter(x[:5] for _, x in short), Counter(x[-5:] for _, x in short)
     groups: dict[str, list[int]] = {}
@@ -190,7 +203,8 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
         if not words or "[" in x:
             continue
         lower = sum(w[0].islower() for w in words)
-        if lower > 0.2 * len(words) or not any(w[0].isupper() for w in words):
+        cased = any(w[0].isupper() for w in words) or not any(w[0].lower() != w[0].upper() for w in words) and WIDE.search(x) is not None
+        if lower > 0.2 * len(words) or not cased:
             continue
         groups.setdefault(re.sub(r"\W+", " ", x).strip().casefold(), []).append(i)
     keys = list(groups)
@@ -213,6 +227,14 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     return numbers, headers
 
 
+def last_word(text: str, end: int) -> str:
+    """The word that ends at a place."""
+    at = end
+    while at and not text[at - 1].isspace():
+        at -= 1
+    return text[at:end]
+
+
 def marks(text: str, common: frozenset[str] | set[str], memo: dict[str, str | None]) -> list[tuple[str, str | None, str | None]]:
     """(kind, word, other) of what may be damage in a text: header and pageno are certain, hyphen and char wait for the lexicon."""
     out: list[tuple[str, str | None, str | None]] = []
@@ -224,7 +246,7 @@ def marks(text: str, common: frozenset[str] | set[str], memo: dict[str, str | No
             out.append(("header", None, None))
         seen = set()
         for m in HYPHEN.finditer(text):
-            lm, rm = LEFT.search(text[max(0, m.start() - 40) : m.start()]), RIGHT.match(text, m.end())
+            lm, rm = LEFT.search(last_word(text, m.start())), RIGHT.match(text, m.end())
             if lm is None or rm is None:
                 continue
             a, b = lm.group(), rm.group()
@@ -292,7 +314,7 @@ def rebuild(text: str, words: dict[str, str], compounds: frozenset[str] | set[st
             para = ""
             continue
         cut_at = re.search(r"[-‐¬­]$", para)
-        lm = LEFT.search(para[-41:-1]) if cut_at else None
+        lm = LEFT.search(last_word(para, len(para) - 1)) if cut_at else None
         rm = RIGHT.match(line)
         if lm is not None and rm is not None:
             whole = f"{lm.group()}-{rm.group()}".lower() in compounds
