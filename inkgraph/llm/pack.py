@@ -2,9 +2,11 @@
 
 Method: bound-certified repacking.  Items are dealt to partitions by hash and each partition packs its items by best-fit
 decreasing; dual-feasible functions over the partition's histogram of sizes give a lower bound on its number of
-containers.  Where the two agree the partition is certified and done.  Partitions with a gap give up the items of their
-containers that are not full; those exchange (are dealt anew with another seed) and are packed again, as long as that
-saves containers.
+containers.  Where the two agree the partition is certified and done.  Partitions with a gap give up their containers that
+are not full and, by a seeded choice, a quarter of their full ones; the items of those exchange (are dealt anew with another
+seed) and are packed again by best-fit decreasing.  A capacity keeps the result of a round where it saves containers; after
+``ROUNDS`` rounds, or where no partition has a gap, the packing stands.  A capacity whose items fit one partition exchanges
+within it: the full containers that are opened bring other items to the gaps.
 
 Scale.  The number of partitions follows the number of items (``ITEMS`` each), so no task ever holds more; the deal is by
 hash of the item, never by source or case, so hot keys do not matter.  Each round moves only the items of containers with
@@ -27,6 +29,8 @@ from inkgraph.session import cut
 
 ITEMS = 60_000
 ROUNDS = 3
+#: Kinds of containers up to which their table is broadcast.
+MAX_KINDS = 10_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -110,7 +114,7 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     n_specs = spec.count()  # a small table of container kinds
     if not n_specs:
         return sizes.sparkSession.createDataFrame([], "pack_id int, bin_id string, doc_id bigint, piece_no int, tokens bigint")
-    items = sizes.crossJoin(F.broadcast(spec.limit(10_000)))  # every item goes into every kind of container
+    items = sizes.crossJoin(F.broadcast(spec) if n_specs <= MAX_KINDS else spec)  # every item goes into every kind of container
     pieces = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
     items = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(pieces - 1, F.lit(0)))))
     items = items.withColumn("tokens", F.when(F.col("tokens") > F.col("capacity"), F.least(F.col("capacity").cast("bigint"), F.col("tokens") - F.col("piece_no") * F.col("capacity"))).otherwise(F.col("tokens")))
@@ -123,7 +127,8 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     done = packed
     for r in range(1, ROUNDS + 1):
         # containers with space left, of partitions whose bound leaves a gap; the others are certified
-        gap = (F.col("bins_used") > F.col("bound")) & (F.col("free") > 0)
+        opened = (F.col("free") > 0) | (F.pmod(F.xxhash64(F.lit(100 + r), "round", "part", "bin"), F.lit(4)) == 0)
+        gap = (F.col("bins_used") > F.col("bound")) & opened & (F.col("tokens") > 0)
         loose = done.where(gap)
         before = {x.pack_id: (x.bins, x.items) for x in loose.groupBy("pack_id").agg(F.count_distinct("round", "part", "bin").alias("bins"), F.count("*").alias("items")).collect()}
         if not before:
@@ -133,7 +138,7 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
         after = {x.pack_id: x.bins for x in again.groupBy("pack_id").agg(F.count_distinct("part", "bin").alias("bins")).collect()}
         better = [k for k, v in after.items() if v < before[k][0]]
         if not better:
-            break
+            continue  # another seed opens other containers
         chosen = F.col("pack_id").isin(better)
         done = cut(done.where(~(gap & chosen)).unionByName(again.where(chosen)))
     return done.select("pack_id", name.alias("bin_id"), "doc_id", "piece_no", "tokens").unionByName(full)
