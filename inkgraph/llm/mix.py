@@ -8,8 +8,8 @@ of each pattern and source is an interval on the seeded order of the pattern's t
 text is drawn for a source as often as its position falls into that source's interval.
 
 Scale.  Only the aggregated patterns (at most ``MAX_PATTERNS``, checked) come to the driver.  Positions are prefix sums over
-hash buckets: bucket sums are aggregated first, and only the order inside a bucket needs a window, so a source with a
-third of all rows is spread over all tasks.  Nothing is sampled or dropped before the selection.
+hash buckets, whose number follows the number of texts: bucket sums are aggregated first, and only the order inside a bucket
+needs a window, so a source with a third of all rows is spread over all tasks.  Nothing is sampled or dropped before the selection.
 
 Edge cases: null and blank texts and null sources are never drawn; a source that no document has gets nothing and is
 reported with 0; quotas that the caps do not allow are filled as far as they go and reported; ties in the seeded order
@@ -27,7 +27,8 @@ from inkgraph.llm.tokens import token_count
 from inkgraph.session import cut
 
 MAX_PATTERNS = 20_000
-BUCKETS = 4096
+#: Texts that a bucket of the seeded order holds on average.
+PER_BUCKET = 5_000
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -111,16 +112,17 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = targets.where("source is not null").collect()  # a small table of wanted shares
-    total = docs.agg(F.sum("tokens")).first()[0] or 0
+    total, n_docs = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    buckets_ = max(1, -(-n_docs // PER_BUCKET))
     out = None
     for mix_id in sorted({r.mix_id for r in rows}):
         own = [r for r in rows if r.mix_id == mix_id]
         names = [r.source for r in own]
         # one row per text: its sources and the first document of each
         usable = docs.where(F.col("source").isin(names) & F.col("text_key").isNotNull() & (F.col("tokens") > 0))
-        per_source = usable.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-        texts = per_source.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("held"), F.max("tokens").alias("tokens"))
-        texts = cut(texts.select("text_key", "held", "tokens", F.array_join("held.source", "\u0001").alias("pattern"), F.pmod(F.xxhash64(F.lit(seed), "text_key"), F.lit(BUCKETS)).alias("bucket"), F.xxhash64(F.lit(seed + 1), "text_key").alias("order")))
+        per_source = usable.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.min_by("tokens", "doc_id").alias("tokens"))
+        texts = per_source.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id", "tokens"))).alias("held"), F.max("tokens").alias("tokens"))  # a row per source
+        texts = cut(texts.select("text_key", "held", "tokens", F.array_join("held.source", "\u0001").alias("pattern"), F.pmod(F.xxhash64(F.lit(seed), "text_key"), F.lit(buckets_)).alias("bucket"), F.xxhash64(F.lit(seed + 1), "text_key").alias("order")))
         sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("v")).limit(MAX_PATTERNS + 1).collect()
         if len(sums) > MAX_PATTERNS:
             raise ValueError("more membership patterns than a plan is made for")
@@ -131,14 +133,14 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         table = spark.createDataFrame([("\u0001".join(p), s, a, b, volume[p]) for (p, s), (a, b) in intervals.items()], "pattern string, source string, a bigint, b bigint, v bigint")
         buckets = texts.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("in_bucket"))
         before = F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-        buckets = buckets.select("pattern", "bucket", F.coalesce(before, F.lit(0)).alias("base"))  # at most BUCKETS rows a pattern
+        buckets = buckets.select("pattern", "bucket", F.coalesce(before, F.lit(0)).alias("base"))  # a row per pattern and bucket
         inner = F.sum("tokens").over(Window.partitionBy("pattern", "bucket").orderBy("order", "text_key").rowsBetween(Window.unboundedPreceding, -1))
         placed = texts.withColumn("inner", F.coalesce(inner, F.lit(0))).join(buckets, ["pattern", "bucket"]).withColumn("pos", F.col("base") + F.col("inner"))
         drawn = placed.join(F.broadcast(table), "pattern")  # as many rows as the plan has
         turns = F.ceil((F.col("b") - F.col("pos")) / F.col("v")) - F.ceil((F.col("a") - F.col("pos")) / F.col("v"))
         drawn = drawn.withColumn("repeats", turns.cast("int")).where("repeats > 0")
-        doc = F.filter("held", lambda h: h["source"] == F.col("source"))[0]["doc_id"]
-        part = drawn.select(F.lit(mix_id).cast("int").alias("mix_id"), "source", doc.alias("doc_id"), "repeats", "tokens")
+        doc = F.filter("held", lambda h: h["source"] == F.col("source"))[0]
+        part = drawn.select(F.lit(mix_id).cast("int").alias("mix_id"), "source", doc["doc_id"].alias("doc_id"), "repeats", doc["tokens"].alias("tokens"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "mix_id int, source string, doc_id bigint, repeats int, tokens bigint")
 
