@@ -334,7 +334,13 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         at: dict[str, list[int]] = {}
+        run = -9
         for end, (n, kinds) in self.anchors.iter(text):
+            if kinds is NUMBERS:  # the first group of a run stands for it
+                if end != run + 1:
+                    at.setdefault("number", []).append(end + 1 - n)
+                run = end
+                continue
             for k in kinds:
                 if k != "de" or text[end + 1 : end + 2].isdigit():
                     at.setdefault(k, []).append(end + 1 - n)
@@ -477,7 +483,7 @@ class Finder:
                 prev_end, titled, open_name = -9, False, False
         for span in out:
             # an initial leads a surname; before a full name it is a title (M.) or a label (A.)
-            if SPACE.search(text, span[1], span[2]) is None and (im := INITIALS_BEFORE.search(text, max(0, span[1] - 8), span[1])) is not None:
+            if text[max(0, span[1] - 2) : span[1] - 1] == "." and SPACE.search(text, span[1], span[2]) is None and (im := INITIALS_BEFORE.search(text, max(0, span[1] - 8), span[1])) is not None:
                 span[1] = im.start()
             if (sm := SUFFIX.match(text, span[2])) is not None:
                 span[2] = sm.end()
