@@ -103,6 +103,7 @@ PAGE_BEFORE = re.compile(r"(?:pp?|pages?|nos?)\.?\s*$", re.I)
 AFTER = re.compile(r"\S*")
 AFTER_ONE = re.compile(r"\S*(?:\s(?:[A-Z]\.\s)?[A-Z]\S*)?")
 BEFORE_ONE = re.compile(r"([A-Z]\S*)\s(?:[A-Z]\.\s)?$")
+NUMBERS = frozenset(("number",))
 NUMBER = frozenset("0123456789 \t\n\r\u00a0().+-")
 NUMBER_RUN = re.compile(r"[\d\s().+-]*")
 STREET_BEFORE = re.compile(r"\d+[A-Za-z]?\s+(?:[A-Z][\w’']*\s+){1,4}$")
@@ -278,7 +279,7 @@ def anchors():
     for n in range(10):  # dialling signs
         cues.setdefault(f"+{n}", set()).add("number")
     for w, kinds in cues.items():
-        a.add_word(w, (len(w), frozenset(kinds)))
+        a.add_word(w, (len(w), NUMBERS if kinds == {"number"} else frozenset(kinds)))
     a.make_automaton()
     return a
 
