@@ -24,3 +24,17 @@ def report(summaries: DataFrame, key: str, column: str) -> DataFrame:
     """(key, section, idx, line): the lines of a report, empty sections left out."""
     s = summaries.select(key, F.explode(F.col(column)["sections"]).alias("k", "lines"))
     return s.select(key, text.section_title(F.col("k")).alias("section"), F.posexplode("lines").alias("idx", "line"))
+
+
+def metrics_lines(analysis: DataFrame, key: str = "site") -> DataFrame:
+    """(key, section, idx, line): the lines of a crawl's metrics in a report."""
+    n = lambda c: F.col(c).cast("string")
+    words = F.coalesce(F.nullif(F.array_join(F.slice("keywords", 1, 8), ", "), F.lit("")), F.lit("n/a"))
+    lines = F.array(F.concat(F.lit("Pages crawled: "), n("total_pages")), F.concat(F.lit("Internal links: "), n("internal_links")), F.concat(F.lit("External links: "), n("external_links")), F.concat(F.lit("Top keywords: "), words), F.concat(F.lit("CTA links detected: "), F.size("ctas").cast("string")))
+    return analysis.select(key, F.lit("Crawl Metrics").alias("section"), F.posexplode(lines).alias("idx", "line"))
+
+
+def file_name(overview: Column, url: Column) -> Column:
+    """A safe name of a report: the first thirty characters of its overview, else its address, signs as hyphens."""
+    base = F.coalesce(F.nullif(F.trim(F.substring(overview, 1, 30)), F.lit("")), F.nullif(url, F.lit("")), F.lit("summary"))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}]", "-"), F.lit("-")), F.lit("")), F.lit("summary"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkgraph.operators import casework, graph, parses, segment
+from inkgraph.functions import text
+from inkgraph.operators import casework, graph, parses, providers, segment
 from inkgraph.plans.core import query, sql_expand, sql_narrative, sql_squeeze
+from inkgraph.sources import models
 from inkgraph.sources.tables import table
 
 # --- SQL, stage by stage ----------------------------------------------------------------------------------------
@@ -308,3 +310,28 @@ def n1(spark, sf):
 def l9(spark, sf):
     n = _stages(spark, sf)["nodes"]
     return graph.drawn(n.withColumn("score", F.lit(0.0))).select("case_id", "id", "color", "size")
+
+
+@query("k7_endpoints", f"SELECT rel_id, {_end('s')} AS source, {_end('o', _MORE)} AS target FROM (SELECT rel_id, lower({sql_squeeze('subject_text')}) AS s, lower({sql_squeeze('object_text')}) AS o FROM edges_relations WHERE trim(subject_text, ' ') <> '' AND trim(object_text, ' ') <> '')")
+def k7(spark, sf):
+    from inkgraph.functions import fixed
+
+    r = table(spark, sf, "edges_relations").where("trim(subject_text) != '' and trim(object_text) != ''")
+    return r.select("rel_id", graph.canonical_end(text.graph_norm(F.col("subject_text")), fixed.ENDPOINT_RULES).alias("source"), graph.canonical_end(text.graph_norm(F.col("object_text")), [*fixed.ENDPOINT_RULES, *fixed.OBJECT_ENDPOINT_RULES]).alias("target"))
+
+
+@query("m4_refined_edges", "SELECT source_id, target_id, edge_type, min(edge_id) AS edge_id FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND edge_type IS NOT NULL GROUP BY ALL")
+def m4(spark, sf):
+    e = table(spark, sf, "graph_edges").select("edge_id", "source_id", "target_id", "edge_type")
+    return graph.dedupe_edges(providers.refine(e, "edge_id", providers.identity)).select("source_id", "target_id", "edge_type", "edge_id")
+
+
+@query("r3_conformed_entities", "SELECT id, case_id, entity_type, entity_name, normalized_name, global_id FROM entities")
+def r3(spark, sf):
+    return models.conform(table(spark, sf, "entities"), "entities")
+
+
+@query("r2_broken_keys", """SELECT 'entities' AS child, 'global_id' AS key, count(*) AS n FROM entities WHERE global_id IS NOT NULL AND global_id NOT IN (SELECT global_id FROM global_entities) UNION ALL SELECT 'relations', 'subject_id', count(*) FROM edges_relations WHERE subject_id IS NOT NULL AND subject_id NOT IN (SELECT id FROM entities)
+    UNION ALL SELECT 'relations', 'object_id', count(*) FROM edges_relations WHERE object_id IS NOT NULL AND object_id NOT IN (SELECT id FROM entities)""")
+def r2(spark, sf):
+    return models.broken({"entities": table(spark, sf, "entities"), "global_entities": table(spark, sf, "global_entities"), "relations": table(spark, sf, "edges_relations")})

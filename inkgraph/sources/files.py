@@ -39,9 +39,46 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of uploaded text files: UTF-8, else Latin-1."""
+def save_graph(nodes: DataFrame, edges: DataFrame, directory: str, nodes_name: str = "graph_nodes", edges_name: str = "graph_edges") -> tuple[str, str]:
+    """Nodes and edges as two JSON tables; gives their paths."""
+    paths = (f"{directory}/{nodes_name}", f"{directory}/{edges_name}")
+    save_json(nodes, paths[0])
+    save_json(edges, paths[1])
+    return paths
+
+
+def save_global_entities(pool: DataFrame, directory: str, case_id: str) -> str:
+    """The pool of one case as JSON; gives its path."""
+    path = f"{directory}/{case_id}_global_entities"
+    save_json(pool.where(F.col("case_id") == case_id), path)
+    return path
+
+
+def enriched(spark: SparkSession, path: str, schema: str, enrich, suffix: str) -> str:
+    """Reads processed JSON, enriches it and writes it beside the input under its name with a suffix; bad JSON is a ValueError."""
+    try:
+        df = spark.read.schema(schema).json(path, mode="FAILFAST", multiLine=True)
+        target = (path[:-5] if path.endswith(".json") else path) + suffix + ".json"
+        save_json(enrich(df), target)
+    except Exception as e:
+        if "MALFORMED" in str(e).upper():
+            raise ValueError(f"invalid JSON in {path}") from e
+        raise
+    return target
+
+
+def uploads(spark: SparkSession, path: str, read_pdf=None) -> DataFrame:
+    """(name, text) of uploaded files: UTF-8, else Latin-1, whatever the suffix; PDF by ``read_pdf`` (bytes -> pages), else refused.
+
+    Pages are joined by a blank line.
+    """
     raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    raw = raw.where(F.col("name").rlike(r"(?i)\.(txt|md|markdown)$"))
+    pdf = F.lower("name").endswith(".pdf")
+    if read_pdf is None and raw.where(pdf).limit(1).count():
+        raise ValueError("PDF files need a reader")
     utf8 = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("content").cast("string")
-    return raw.select("name", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
+    out = raw.where(~pdf).select("name", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
+    if read_pdf is None:
+        return out
+    pages = F.udf(lambda b: "\n\n".join(read_pdf(bytes(b))), "string")  # one call a file
+    return out.unionByName(raw.where(pdf).select("name", pages("content").alias("text")))

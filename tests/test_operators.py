@@ -12,7 +12,7 @@ from inkgraph.operators import casework, entities, events, graph, parses, payloa
 from inkgraph.operators import timestamps
 from inkgraph.operators.ordered import following, position, running
 from inkgraph.operators.timestamps import case_times, normalize, zone_intervals
-from inkgraph.sources import files
+from inkgraph.sources import files, models
 from inkgraph.streaming import timeline
 
 
@@ -193,12 +193,23 @@ def test_refine_and_quality(spark):
 
 
 def test_providers(spark):
-    assert providers.parse_reply("```json\n{\"a\": 1}\n```") == {"a": 1}
+    assert providers.parse_reply("```json\n{\"a\": 1}\n```") == {"a": 1} and providers.parse_reply("```json\n    {\n  \"overview\": \"ok\"\n    }\n    ```")["overview"] == "ok"
     assert providers.parse_reply("text [1, 2] more") == [1, 2]
-    with pytest.raises(ValueError, match="invalid JSON"):
-        providers.parse_reply("```nothing```")
+    with pytest.raises(providers.ContentError, match="invalid JSON") as caught:
+        providers.parse_reply("```json not valid ```")
+    assert caught.value.payload == {"text": "```json not valid ```"}
     with pytest.raises(ValueError):
         providers.make("unknown")
+    with pytest.raises(RuntimeError):
+        providers.make("grok")
+    assert isinstance(providers.make("Gemini", key="foo"), providers.GeminiClient) and isinstance(providers.make("grok", key="bar"), providers.GrokClient)
+    sent = []
+    g = providers.make("gemini", key="k", transport=lambda r: sent.append(r) or {"candidates": [{"content": {"parts": [{"text": ""}, {"text": "hi"}]}}]})
+    assert g(["p"]) == ["hi"] and sent[0]["json"]["contents"][0]["parts"][0]["text"] == "p"
+    for reply, message in [({"candidates": []}, "no candidates"), ({"candidates": [{"finishReason": "SAFETY"}], "promptFeedback": {"blockReason": "X"}}, "finishReason=SAFETY, blockReason=X"), ({"status": 429, "error": {"message": "slow down"}}, "slow down")]:
+        with pytest.raises(providers.GeminiContentError, match=message):
+            providers.make("gemini", key="k", transport=lambda _, r=reply: r)(["p"])
+    assert providers.make("grok", key="k", transport=lambda _: {"choices": [{"message": {"content": "yo"}}]})(["p"]) == ["yo"]
 
     def broken(requests):
         raise RuntimeError("down")
@@ -206,6 +217,87 @@ def test_providers(spark):
     d = spark.createDataFrame([("x",), (None,)], "t string")
     assert [(r.t, r.reply, r.error) for r in providers.annotate(d, "t", broken).collect()] == [("x", "x", "RuntimeError: down"), (None, "", "RuntimeError: down")]
     assert all(r.error is None for r in providers.annotate(d, "t", providers.make("identity")).collect())
+    s = spark.createDataFrame([(1, '{"overview": "o"}'), (2, "no")], "id int, prompt string")
+    assert {(r.id, r.reply, (r.reason or "")[:27]) for r in providers.summarised(s, "id", providers.identity).collect()} == {(1, '{"overview": "o"}', ""), (2, None, "the reply has invalid JSON:")}
+    rows = spark.createDataFrame([(i, f"n{i}", None) for i in range(250)], "ord int, id string, label string")
+
+    def halve(requests):
+        got = __import__("json").loads(requests[0])
+        return ["nonsense"] if got[0]["ord"] >= 200 else [__import__("json").dumps(got[:50])]
+
+    kept = sorted(r.ord for r in providers.refine(rows, "ord", halve).collect())
+    assert kept == [*range(50), *range(100, 150), *range(200, 250)]
+
+
+def test_pages(spark):
+    html = "<html><head><title> My\n page </title><meta name='description' content='A  b'><style>x{}</style></head><body><h1>Top <b>one</b></h1><h4>no</h4><a href='c.html#p'>c</a><a href='../d'>d</a><a href='//e.example/f'>e</a><a href='javascript:x'>x</a><a href='mailto:a@b'>m</a><a>none</a><p>Text &amp; more<script>var y</script><h3></h3>"
+    raw = spark.createDataFrame([("s", 1, "https://a.example/x/y", "200", html), ("s", 2, "https://a.example/z", "200", None)], "site string, page_id int, url string, status string, html string")
+    p = {r.page_id: r for r in web.snapshots(raw).collect()}
+    assert (p[1].title, p[1].description, p[1].headings) == ("My page", "A b", ["Top one"]) and p[1].links == ["https://a.example/x/c.html", "https://a.example/d", "https://e.example/f"]
+    assert "Text & more" in p[1].text and "var y" not in p[1].text and p[2].text == "" and p[2].token_estimate == 1
+
+
+def test_analysis_counts_links(spark):
+    page = lambda i, url, t: ("https://example.com", i, url, "200", "Title", "Description", ["Heading"], [url + "/contact", "https://external.com"], t, len(t.split()), len(t.split()))
+    rows = [page(1, "https://example.com", "This is sample text for insights"), page(2, "https://example.com/about", "Another section talking about contact actions")]
+    p = spark.createDataFrame(rows, "site string, page_id int, url string, status string, title string, description string, headings array<string>, links array<string>, text string, word_count bigint, token_estimate bigint")
+    a = web.analysis(p).first()
+    assert (a.total_pages, a.internal_links, a.external_links, a.top_headings) == (2, 2, 2, ["Heading", "Heading"]) and "contact" in " ".join(a.ctas).lower() and a.keywords[:2] == ["this", "sample"]
+    s = {(r.section, r.idx): r.line for r in web.site_summary(p, "blocked").collect()}
+    assert s["key_sections", 1] == "Title: Description" and s["highlights", 2] == "Internal links: 2 · External links: 2" and "(blocked)" in s["overview", 1]
+    assert [r.chunk for r in web.aggregate_text(p, 9).orderBy("page_id").collect()] == ["URL: https://example.com\nThis is sample text for insights", "URL: https://example.com/about\nAnother section talking..."]
+    m = {r.idx: r.line for r in payloads.metrics_lines(web.analysis(p)).collect()}
+    assert m[0] == "Pages crawled: 2" and m[4] == "CTA links detected: 2"
+    assert one(spark, payloads.file_name(F.col("o"), F.col("u")), o="Hi, there!", u="x") == "Hi--there" and one(spark, payloads.file_name(F.col("o"), F.lit(None)), o=" ") == "summary"
+    assert web.analysis(p.limit(0)).count() == 0 and web.site_summary(p.limit(0), "x").count() == 0
+
+
+def test_frontier_queue(spark):
+    h = "https://a.example"
+    links = spark.createDataFrame([(h, 0, h + "/1"), (h, 1, "https://b.example"), (h, 2, h + "/2"), (h + "/1", 0, h), (h + "/1", 1, h + "/3"), (h + "/2", 0, h + "/4")], "src string, pos int, dst string")
+    assert [r.url for r in web.frontier(links, h + "/", 4).orderBy("visit").collect()] == [h, h + "/1", h + "/2", h + "/3"]
+    loaded = spark.createDataFrame([(h,), (h + "/2",), (h + "/4",)], "url string")
+    assert [r.url for r in web.frontier(links, h, 5, loaded).orderBy("visit").collect()] == [h, h + "/2", h + "/4"]
+
+
+def test_models(spark):
+    assert models.schema("relations").names[:4] == ["id", "case_id", "subject_id", "predicate"] and models.ddl("cases").startswith("CREATE TABLE IF NOT EXISTS cases (case_id STRING")
+    c = models.conform(spark.createDataFrame([("x", "t", "extra")], "case_id string, title string, other string"), "cases").first()
+    assert c.status == "Open" and c.created_at is None and "other" not in c.asDict()
+    t = {
+        "cases": spark.createDataFrame([("a",), ("b",)], "case_id string"), "entities": spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "b", 9)], "id bigint, case_id string, global_id bigint"),
+        "relations": spark.createDataFrame([(1, "b", 1, 2), (2, "b", 2, 3)], "id bigint, case_id string, subject_id bigint, object_id bigint"), "global_entities": spark.createDataFrame([(7, "a"), (8, "b"), (9, "b")], "global_id bigint, case_id string"),
+    }
+    assert all(r.n == 0 for r in models.broken(t).collect())
+    out = models.delete(t, "cases", t["cases"].where("case_id = 'a'"))
+    assert [r.id for r in out["entities"].orderBy("id").collect()] == [2, 3] and [r.id for r in out["relations"].collect()] == [2] and out["global_entities"].count() == 2
+    out = models.delete(t, "global_entities", t["global_entities"].where("global_id = 8"))
+    assert {r.id: r.global_id for r in out["entities"].collect()} == {1: 7, 2: None, 3: 9}
+
+
+def test_views_and_nodes(spark):
+    e = spark.createDataFrame([(1, "a", "b", "T"), (2, "c", "b", "T"), (3, "d", "d", "T")], "edge_id int, source_id string, target_id string, edge_type string")
+    n = spark.createDataFrame([("a", "Entity", "Ann Lee", "PERSON", 1), ("b", "Entity", "Bob", "ORG", 2), ("c", "Location", "yard", None, 3), ("z", "Event", None, None, 4)], "id string, type string, text string, label string, ord int")
+    s = spark.createDataFrame([("a", 0.2), ("b", 0.5), ("c", 0.2), ("d", 0.1)], "id string, score double")
+    assert {r.id for r in graph.view(s, n, e).collect()} == {"a", "b", "c"}
+    assert [r.id for r in graph.view(s, n, e, around="a", types=["Entity"], labels=["ORG", "PERSON"], significant=True, min_score=0.1, top=1).collect()] == ["b"]
+    r = {r.id: (r.text, r.label, r.is_significant) for r in graph.ranked(s, n.drop("ord")).collect()}
+    assert r["d"] == ("Unknown", "Unknown", False) and r["b"] == ("Bob", "ORG", True) and r["c"] == ("yard", "Unknown", True)
+    assert graph.find_node(n, "A") == "a" and graph.find_node(n, "ann") == "a" and graph.find_node(n, "nobody here") == "z" and graph.find_node(n.limit(0), "x") is None
+    assert {(x.id, x.color, x.size) for x in graph.drawn(n.join(s, "id", "left")).collect()} >= {("b", "skyblue", 5500.0), ("z", "lightcoral", 500.0)}
+
+
+def test_command_line(spark, tmp_path):
+    from inkgraph.__main__ import run_step
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "BIO_Ann.txt").write_text("Ann\n\nAnn met the victim in Oak on May 3, 1990.")
+    (tmp_path / "in" / "IncidentReport_1.txt").write_text("At 9:05 a.m. the guard saw the dog.")
+    timing = run_step(spark, "full", str(tmp_path / "in"), str(tmp_path / "out"), "C1")
+    assert timing["total_pipeline_time"] > 0 and {"document_discovery", "events"} <= set(timing)
+    assert {r.event_id for r in spark.read.json(str(tmp_path / "out" / "events")).collect()} == {"BIO_Ann_EV1", "IncidentReport_1_EV1"}
+    with pytest.raises(FileNotFoundError):
+        run_step(spark, "case", str(tmp_path / "none"), str(tmp_path / "out"))
 
 
 def test_files(spark, tmp_path):
@@ -219,7 +311,20 @@ def test_files(spark, tmp_path):
     assert files.load_json(spark, str(tmp_path / "none"), files.EDGES).count() == 0
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "a.md").write_bytes("café".encode("latin-1"))
-    assert files.uploads(spark, str(tmp_path / "up")).first().text == "café"
+    (tmp_path / "up" / "b.log").write_text("naïve", encoding="utf-8")
+    assert {r.name: r.text for r in files.uploads(spark, str(tmp_path / "up")).collect()} == {"a.md": "café", "b.log": "naïve"}
+    (tmp_path / "up" / "c.pdf").write_bytes(b"%PDF")
+    with pytest.raises(ValueError):
+        files.uploads(spark, str(tmp_path / "up"))
+    assert files.uploads(spark, str(tmp_path / "up"), lambda b: ["p1", "p2"]).where("name = 'c.pdf'").first().text == "p1\n\np2"
+    paths = files.save_graph(spark.range(2), spark.range(3), str(tmp_path / "g"))
+    assert [spark.read.json(x).count() for x in paths] == [2, 3]
+    (tmp_path / "doc.json").write_text('{"a": 1}')
+    target = files.enriched(spark, str(tmp_path / "doc.json"), "a int", lambda d: d.withColumn("b", F.lit(2)), "_ner")
+    assert spark.read.json(target).first().asDict() == {"a": 1, "b": 2}
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(ValueError):
+        files.enriched(spark, str(tmp_path / "bad.json"), "a int", lambda d: d, "_ner")
 
 
 def test_stream(spark, tmp_path):
