@@ -207,14 +207,18 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
         if lower > 0.2 * len(words) or not cased:
             continue
         groups.setdefault(re.sub(r"\W+", " ", x).strip().casefold(), []).append(i)
-    keys = list(groups)
+    # one header, read a little differently on each page: keys that begin or end alike are compared
+    ends: dict[str, list[str]] = {}
+    for k in groups:
+        ends.setdefault("^" + k[:5], []).append(k)
+        ends.setdefault("$" + k[-5:], []).append(k)
     merged: list[list[int]] = []
     used: set[str] = set()
-    for k in keys:  # one header, read a little differently on each page
+    for k in groups:
         if k in used:
             continue
         rows = list(groups[k])
-        for o in keys:
+        for o in dict.fromkeys(ends["^" + k[:5]] + ends["$" + k[-5:]]):
             if o != k and o not in used and abs(len(o) - len(k)) <= 2 and len(k) > 8 and edit(k, o, 2) <= 2:
                 rows += groups[o]
                 used.add(o)
