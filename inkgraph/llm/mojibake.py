@@ -105,7 +105,7 @@ def read_utf8(run: str, codec: str) -> tuple[str, int, int] | None:
 def by_form(text: str) -> tuple[str, set[str]]:
     """What is certain by form alone: (text with those spans restored, kinds of damage)."""
     kinds: set[str] = set()
-    for _ in range(4):
+    while True:  # read wrongly once or more often: each round makes the text shorter
         runs = {r for r in NON_ASCII.findall(text) if len(r) > 1}
         best, most, name = {}, 0, ""
         for codec in UTF8_READ_AS:
@@ -180,7 +180,7 @@ def words_outside_ascii(text: str) -> list[str]:
     for w in text.split():
         if not w.isascii():
             w = w.strip(EDGE)
-            if w and len(w) <= 60 and not w.isascii() and not re.search(r"[֐-႟ᜀ-῿⺀-￯]", w.replace("�", "")):
+            if w and not w.isascii() and not re.search(r"[֐-႟ᜀ-῿⺀-￯]", w.replace("�", "")):
                 out[w] = None
     return list(out)
 
