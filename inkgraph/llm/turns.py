@@ -15,7 +15,7 @@ that of a document.
 
 Edge cases: null, blank and failed transcripts and transcripts without turns give no rows; without a participants list
 every voice is ``unknown``; labels without words open no turn; equal time stamps keep the written order; turns without a
-time stamp keep their place after the last stamped one; repeated rows under new ids are worked on by themselves; extra
+time stamp keep their place after the last stamped one; a label has by definition at most six words and 60 characters; repeated rows under new ids are worked on by themselves; extra
 columns are ignored.
 """
 
