@@ -212,22 +212,39 @@ def assign(labels: list[str], roster: list[str]) -> dict[str, tuple[str | None,
     return out
 
 
-def clean(text: str) -> str:
-    """The words of a turn without hesitations, sound notes and stutters."""
-    kept: list[str] = []
+KEPT = re.compile("\x00(\\d+)\x00")
+RUNS = re.compile(r"\s+")
+BEFORE_STOP = re.compile(r"\s+([,.;:?!])")
+FRONT = re.compile(r"^[\s,;–—-]+")
+#: Signs without which a text holds no note, and letters without which it holds no hesitation.
+NOTE_SIGNS = re.compile(r"[\[({<*♪♫#]")
+HESITATES = re.compile(r"(?i)\b(?:u+[hm]|e+[hr]|h+m|mm|ah|oh|mh|ä?hm|euh|este)")
 
-    def keep(m: re.Match) -> str:
-        kept.append(m.group())
-        return f"\x00{len(kept) - 1}\x00"
 
-    t = OBFUSCATED.sub(keep, text)
-    t = NOTE.sub(" ", t)
-    t = FILLED.sub(" ", t)
-    t = STUTTER.sub("", t)
-    t = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], t)
-    t = re.sub(r"\s+", " ", t)
-    t = re.sub(r"\s+([,.;:?!])", r"\1", t)
-    return re.sub(r"^[\s,;–—-]+", "", t).strip()
+def clean(text: str) -> str:
+    """The words of a turn without hesitations, sound notes and stutters."""
+    t = text
+    if NOTE_SIGNS.search(t) is not None:
+        kept: list[str] = []
+
+        def keep(m: re.Match) -> str:
+            kept.append(m.group())
+            return f"\x00{len(kept) - 1}\x00"
+
+        t = NOTE.sub(" ", OBFUSCATED.sub(keep, t))
+        if HESITATES.search(t) is not None:
+            t = FILLED.sub(" ", t)
+        if "- " in t or "-\n" in t:
+            t = STUTTER.sub("", t)
+        if kept:
+            t = KEPT.sub(lambda m: kept[int(m.group(1))], t)
+    else:
+        if HESITATES.search(t) is not None:
+            t = FILLED.sub(" ", t)
+        if "- " in t or "-\n" in t:
+            t = STUTTER.sub("", t)
+    t = BEFORE_STOP.sub(r"\1", RUNS.sub(" ", t))
+    return FRONT.sub("", t).strip()
 
 
 def has_words(text: str) -> bool:
@@ -288,7 +305,7 @@ def _looks_like_label(label: str, roster: list[str]) -> bool:
         return False
     if len(words) <= 4 and (len(words) > 1 or label.isupper()):
         return True
-    return assign([label], roster)[label][0] is not None
+    return STRANGER.search(label) is None and any(distance(label, line) <= 3 for line in roster)
 
 
 def raw_turns(text: str) -> tuple[list[str], dict[str, str], list[tuple[float | None, str, str]]]:
@@ -296,20 +313,22 @@ def raw_turns(text: str) -> tuple[list[str], dict[str, str], list[tuple[float |
     roster, letters, body = roster_of(text)
     memo: dict[str, bool] = {}
     lines = body.split("\n")
-    n_cue = sum(CUE.match(x) is not None for x in lines)
+    n_cue = sum(CUE.match(x) is not None for x in lines) if "-->" in body else 0
     n_arrow = sum(x.lstrip().startswith(">>") for x in lines)
-    n_stamp = sum(STAMP.match(x) is not None for x in lines) if not n_cue else 0
+    stamps = [STAMP.match(x) for x in lines] if not n_cue else []
+    n_stamp = sum(x is not None for x in stamps)
     n_answer = sum(ANSWER.match(x) is not None for x in lines) if letters else 0
     n_tab = sum("\t" in x.strip() for x in lines)
     labels = 0
     seps = PART
     if not (n_cue or n_answer):
         counts = []
-        for p in PART:
+        heads = [st.group(2) if n_stamp > 1 and st is not None else x for x, st in zip(lines, stamps, strict=True)]
+        heads = [y.lstrip("> \t") for y in heads] if n_arrow else heads
+        for p, sign in zip(PART, (":", "\t", None), strict=True):
             hits = 0
-            for x in lines:
-                y = STAMP.match(x).group(2) if n_stamp > 1 and STAMP.match(x) else x
-                m = p.match(y.lstrip("> \t") if n_arrow else y)
+            for y in heads:
+                m = p.match(y) if sign is None or sign in y else None
                 hits += m is not None and looks_like_label(m.group(1), roster, memo)
             counts.append(hits)
         labels = max(counts)
@@ -318,7 +337,7 @@ def raw_turns(text: str) -> tuple[list[str], dict[str, str], list[tuple[float |
             seps = (PART[1],)
     turns: list[list] = []
     now: float | None = None
-    for line in lines:
+    for at, line in enumerate(lines):
         if not line.strip():
             continue
         if n_cue:
@@ -337,7 +356,7 @@ def raw_turns(text: str) -> tuple[list[str], dict[str, str], list[tuple[float |
             continue
         else:
             stamp, rest = None, line
-            if n_stamp > 1 and (m := STAMP.match(line)) is not None:
+            if n_stamp > 1 and (m := stamps[at]) is not None:
                 stamp, rest = seconds(m.group(1)), m.group(2)
             arrow = rest.lstrip().startswith(">>") or line.lstrip().startswith(">>")
             if (n_stamp < 2 or stamp is not None) and (n_arrow < 2 or arrow):
