@@ -414,7 +414,7 @@ def l3(spark, sf):
 
 
 _PR = f"{_pagerank_sql(5)}, sc AS (SELECT id, score FROM r5), st AS (SELECT count(*) AS n, avg(score) + 0.5 * stddev_samp(score) AS a, 0.3 * max(score) AS b FROM sc), rk AS (SELECT sc.id, sc.score, sc.score >= CASE WHEN n > 10 THEN a ELSE b END AS is_significant FROM sc, st)"
-_NODES = "gl AS (SELECT 'ENT_' || canonical_name AS id, arg_min(entity_type, global_id) AS label FROM global_entities WHERE canonical_name IS NOT NULL GROUP BY 1), nd AS (SELECT id, CASE WHEN starts_with(id, 'ENT_') THEN 'Entity' WHEN starts_with(id, 'LOC_') THEN 'Location' ELSE 'Event' END AS type, replace(regexp_replace(id, '^[A-Z]+_', ''), '_', ' ') AS text, label FROM (SELECT source_id AS id FROM graph_edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL) LEFT JOIN gl USING (id))"
+_NODES = "gl AS (SELECT 'ENT_' || canonical_name AS id, arg_min({'l': entity_type}, global_id).l AS label FROM global_entities WHERE canonical_name IS NOT NULL GROUP BY 1), nd AS (SELECT id, CASE WHEN starts_with(id, 'ENT_') THEN 'Entity' WHEN starts_with(id, 'LOC_') THEN 'Location' ELSE 'Event' END AS type, replace(regexp_replace(id, '^[A-Z]+_', ''), '_', ' ') AS text, label FROM (SELECT source_id AS id FROM graph_edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL) LEFT JOIN gl USING (id))"
 
 
 def _ranks(spark, sf):

@@ -145,10 +145,10 @@ def test_ranks_of_each_case_by_itself(spark):
     one = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "f")]
     e = spark.createDataFrame([(k, s, t) for k in "xy" for s, t in (one if k == "x" else one[:3])], "k string, source string, target string")
     nodes = spark.createDataFrame([("x", "z"), ("w", "q")], "k string, id string")
-    got = {(r.k, r.id): r.score for r in graph.pagerank_by(e, nodes, "k").collect()}
+    got = {(r.k, r.id): r.score for r in graph.pagerank_by(e, nodes, "k", 12).collect()}
     for k, extra in (("x", "z"), ("y", None)):
         ex = e.where(F.col("k") == k).selectExpr("1 as edge_id", "source as source_id", "target as target_id")
-        alone = graph.pagerank(ex, None if extra is None else spark.createDataFrame([(extra,)], "id string"))
+        alone = graph.pagerank(ex, None if extra is None else spark.createDataFrame([(extra,)], "id string"), 12)
         assert all(abs(got[k, r.id] - r.score) < 1e-4 for r in alone.collect())
     assert got["w", "q"] == pytest.approx(1.0)
 
