@@ -35,7 +35,7 @@ from inkgraph.llm import canon
 from inkgraph.llm.canon import clipped
 from inkgraph.session import cut
 
-edit = lru_cache(maxsize=500_000)(canon.edit)  # names are made of few parts
+edit = lru_cache(maxsize=50_000)(canon.edit)  # names are made of few parts, and rows come case by case
 
 #: Short forms of English given names in common use (fixed values): given name -> short forms.
 NICKNAMES = {
@@ -66,7 +66,7 @@ def fold(s: str) -> str:
     return s.translate(str.maketrans("ßøłđ", "sold"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def parse(name: str) -> tuple:
     """(kind, first, middle, last, suffix, tight, parts, acronym, hint) of a spelling; kind: person, initial, surname, glued, org, acronym, none."""
     none = ("none", "", "", "", "", "", [], "", "")
@@ -249,12 +249,12 @@ def cost(q: dict, c: dict) -> float:
     return extra + min(straight, turned, whole)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def fields(name: str) -> dict:
     return dict(zip(("kind", "first", "middle", "last", "suffix", "tight", "parts", "acronym", "hint"), parse(name), strict=True))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def key_sets(name: str) -> tuple[frozenset[str], frozenset[str]]:
     ask, found = keys(parse(name))
     return frozenset(ask), frozenset(found)
