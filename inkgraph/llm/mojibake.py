@@ -102,6 +102,13 @@ def read_utf8(run: str, codec: str) -> tuple[str, int, int] | None:
     return ("".join(out) + run[at:], won, foreign) if won else None
 
 
+@lru_cache(maxsize=len(UTF8_READ_AS))
+def pair_of(codec: str) -> re.Pattern:
+    """What a UTF-8 sequence begins with when ``codec`` reads it: a sign of a leading byte and one of a byte that carries on."""
+    sign = lambda lo, hi: "".join(re.escape(c) for b in range(lo, hi) for c in {bytes([b]).decode(codec, "ignore") or chr(b), chr(b)})
+    return re.compile(f"[{sign(0xC2, 0xF5)}][{sign(0x80, 0xC0)}]")
+
+
 def by_form(text: str) -> tuple[str, set[str]]:
     """What is certain by form alone: (text with those spans restored, kinds of damage)."""
     kinds: set[str] = set()
@@ -109,7 +116,10 @@ def by_form(text: str) -> tuple[str, set[str]]:
         runs = {r for r in NON_ASCII.findall(text) if len(r) > 1}
         best, most, name = {}, 0, ""
         for codec in UTF8_READ_AS:
-            found = {run: got for run in runs if (got := read_utf8(run, codec)) is not None}
+            pair = pair_of(codec)
+            found = {run: got for run in runs if pair.search(run) is not None and (got := read_utf8(run, codec)) is not None}
+            if not found:
+                continue
             foreign = sum(f for _, _, f in found.values())
             cyrillic = codec in CYRILLIC
             fixes = {}
